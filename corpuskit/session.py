@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,11 +39,10 @@ def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and return a DataFrame that reads it back.
 
     The files lie in the shared folder, so the loss of an executor costs nothing, and the
-    lineage of an iterative job stays short. The block store is used only on disk and only
-    while the checkpoint is written.
+    lineage of an iterative job stays short. The partitioning of ``df`` is kept.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager, storageLevel=StorageLevel.DISK_ONLY)
+    return df.checkpoint(eager=eager)
 
 
 def shuffle_width(spark: SparkSession) -> int:
