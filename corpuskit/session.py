@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_FOLDERS: set[str] = set()
+
+
 def local_session(cores: str = "*", app: str = "corpuskit", **conf: str) -> SparkSession:
     """A local session with the settings the engine is tested under; ``conf`` keys use ``__`` for dots."""
     builder = (
@@ -32,17 +37,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     wanted = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="corpuskit-checkpoint-"))
-    return context.getCheckpointDir()
+    folder = context.getCheckpointDir()
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove_tables, spark, folder)
+    return folder
 
 
-def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and return a DataFrame that reads it back.
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table below the shared checkpoint folder and return a DataFrame that reads it.
 
-    The files lie in the shared folder, so the loss of an executor costs nothing, and the
-    lineage of an iterative job stays short. The partitioning of ``df`` is kept.
+    The files survive the loss of executors, the plan starts afresh (so the optimiser's work
+    stays constant over the rounds of an iterative job), sizes are known exactly and unused
+    columns are not read. The folder belongs to the application and is removed when the
+    driver's Python ends.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove_tables(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/tables")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone already
+        pass
 
 
 def shuffle_width(spark: SparkSession) -> int:
