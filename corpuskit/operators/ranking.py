@@ -1,4 +1,4 @@
-"""Dense ranks inside groups of any size, without a window over a whole group."""
+"""Ranks and running sums inside groups of any size, without a window over a whole group."""
 
 from __future__ import annotations
 
@@ -10,41 +10,60 @@ from pyspark.sql import functions as F
 from corpuskit.session import materialize
 
 
-def hash_rank(df: DataFrame, keys: Sequence[str], identity: Sequence[str], seed: int = 0, buckets: int = 256, out: str = "rank") -> DataFrame:
-    """0-based rank of each row inside its group, in the order of a hash of ``identity``.
+def hash_running_sum(df: DataFrame, keys: Sequence[str], identity: Sequence[str], value: Column | str, seed: int = 0, buckets: int = 256, out: str = "running") -> DataFrame:
+    """Sum of ``value`` over the rows of a group up to and with each row, in the order of a hash of ``identity``.
 
-    Each group is cut into ``buckets`` parts by the hash; a row's rank is its place in the
-    part plus the sizes of the parts before it. One shuffle of the rows, by group and part;
-    the sizes are ``buckets`` small rows a group. Rows equal in ``identity`` get consecutive
-    ranks in an undefined order. Null keys form a group.
+    Each group is cut into ``buckets`` parts by the hash; a row's sum is that inside its
+    part plus those of the parts before. One shuffle of the rows, by group and part; the
+    parts' sums are at most ``buckets`` small rows a group. Rows equal in ``identity`` come
+    in an undefined order. Null keys form a group, null values count as 0.
     """
     h = F.xxhash64(F.lit(seed), *[F.col(c) for c in identity])
-    part = df.withColumn("_h", h).withColumn("_b", F.shiftrightunsigned(F.col("_h"), 40).cast("int") % buckets)
+    amount = F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(0))
+    part = df.withColumns({"_h": h, "_a": amount}).withColumn("_b", F.shiftrightunsigned(F.col("_h"), 40).cast("int") % buckets)
     part = part.repartition(*keys, "_b") if keys else part.repartition("_b")
-    inside = Window.partitionBy(*keys, "_b").orderBy("_h", *identity)
-    sizes = part.groupBy(*keys, "_b").count()
+    # the parts follow each other by number, the rows of a part by the whole hash
+    inside = Window.partitionBy(*keys, "_b").orderBy("_h", *identity).rowsBetween(Window.unboundedPreceding, 0)
+    sums = part.groupBy(*keys, "_b").agg(F.sum("_a").alias("_t"))
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_ob"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o"))
-    ranked = part.withColumn("_r", F.row_number().over(inside) - 1)
+    offsets = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_ob"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
+    summed = part.withColumn("_r", F.sum("_a").over(inside))
     match = F.col("_b") == F.col("_ob")
     for i, k in enumerate(keys):
         match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return ranked.join(offsets, match).withColumn(out, (F.col("_r") + F.col("_o")).cast("bigint")).select(*df.columns, out)
+    return summed.join(offsets, match).withColumn(out, F.col("_r") + F.col("_o")).select(*df.columns, out)
 
 
-def global_position(df: DataFrame, order: Sequence[Column | str], out: str = "position") -> DataFrame:
-    """0-based position of every row in the total order ``order``: one range sort, no single-partition window.
+def hash_rank(df: DataFrame, keys: Sequence[str], identity: Sequence[str], seed: int = 0, buckets: int = 256, out: str = "rank") -> DataFrame:
+    """0-based rank of each row inside its group, in the order of a hash of ``identity``; see :func:`hash_running_sum`."""
+    return hash_running_sum(df, keys, identity, F.lit(1).cast("bigint"), seed, buckets, out).withColumn(out, (F.col(out) - 1).cast("bigint"))
 
-    The sorted rows are written to the checkpoint folder with their partition and place in
-    it; the driver receives one count per partition.
-    """
+
+def _placed(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """The rows in total order, written with the number of their range partition and their place in it."""
     placed = materialize(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
-    counts = placed.groupBy(F.shiftright("_m", 33).alias("p")).count().orderBy("p").collect()
-    starts, total = {}, 0
-    for r in counts:
-        starts[r["p"]] = total
-        total += r["count"]
-    table = df.sparkSession.createDataFrame(list(starts.items()) or [(0, 0)], "_p bigint, _s bigint")
-    with_part = placed.withColumn("_p", F.shiftright("_m", 33))
-    joined = with_part.join(F.broadcast(table), "_p", "left")
-    return joined.withColumn(out, F.col("_s") + F.col("_m").bitwiseAND((1 << 33) - 1)).select(*df.columns, out)
+    return placed.withColumn("_p", F.shiftright("_m", 33))
+
+
+def _starts(placed: DataFrame, amount: Column) -> DataFrame:
+    """What the partitions before each partition add up to; the driver receives one row a partition."""
+    rows, total = [], 0
+    for r in sorted(placed.groupBy("_p").agg(amount.alias("n")).collect()):
+        rows.append((r["_p"], total))
+        total += r["n"]
+    return F.broadcast(placed.sparkSession.createDataFrame(rows, "_p bigint, _s bigint"))
+
+
+def global_position(df: DataFrame, order: Sequence[Column | str], out: str = "position") -> DataFrame:
+    """0-based position of every row in the total order ``order``: one range sort, no single-partition window."""
+    placed = _placed(df, order)
+    at = F.col("_s") + F.col("_m").bitwiseAND((1 << 33) - 1)
+    return placed.join(_starts(placed, F.count("*")), "_p").withColumn(out, at).select(*df.columns, out)
+
+
+def global_running_sum(df: DataFrame, order: Sequence[Column | str], value: str, out: str = "running") -> DataFrame:
+    """Sum of the integer ``value`` over all rows up to and with each row in the total order ``order``."""
+    placed = _placed(df, order)
+    inside = Window.partitionBy("_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumn("_r", F.sum(value).over(inside))
+    return summed.join(_starts(placed, F.coalesce(F.sum(value), F.lit(0))), "_p").withColumn(out, F.col("_s") + F.col("_r")).select(*df.columns, out)
