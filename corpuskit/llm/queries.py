@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskit.functions.speaker_ids import known_speaker
-from corpuskit.llm import packing, splits, terms, topn
+from corpuskit.llm import langid, leakage, mixing, packing, splits, subjects, terms, tokens, topn
 from corpuskit.plans.registry import Registry, known_speaker_sql, table
 
 registry = Registry()
@@ -119,3 +119,83 @@ def p5_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same without scores."""
     return p5_top(spark, sf_dir).select("group_id", "sample_idx")
+
+
+# ---- 6: language of documents and segments
+
+@registry.query()
+def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, and every stretch of a mixed one, with its language and confidence."""
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("lang", "label")
+    return langid.detect_languages(docs, "doc_id", "text", "label")
+
+
+@registry.query()
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of all documents whose label isn't right."""
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("lang", "label")
+    found = langid.detect_languages(docs, "doc_id", "text", "label", keep=["label"])
+    right = (F.col("n_segments") == 1) & langid.language_code("label").eqNullSafe(F.col("lang"))
+    return found.where(~right & (F.col("lang") != langid.UNDETERMINED)).select("doc_id", "seg_no", "lang")
+
+
+# ---- 7: evaluation texts in the corpus
+
+@registry.query()
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with verified overlaps with held-out texts, substitutions allowed."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
+    return leakage.leaked_items(docs, "doc_id", "text", items, "item_id", "text")
+
+
+@registry.query()
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those with at least ten equal words in a row."""
+    return p7_leaks(spark, sf_dir).where(F.col("longest_run") >= 10).select("doc_id", "item_id")
+
+
+# ---- 8: mixing sources to target weights
+
+def mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    targets = table(spark, sf_dir, "mix_targets")
+    wanted = docs.join(targets.select("source").distinct(), "source", "left_semi")
+    return mixing.weighted_mix(tokens.with_token_counts(wanted, "text"), "doc_id", "source", "n_tokens", targets)
+
+
+@registry.query()
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture with their copies, in queueing order."""
+    return mixture(spark, sf_dir)[0]
+
+
+@registry.query()
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return mixture(spark, sf_dir)[1]
+
+
+@registry.query(
+    """
+WITH s AS (SELECT source, sum(length(text)) AS n FROM documents GROUP BY 1),
+t AS (SELECT m.source, target_share, max_repeats, coalesce(n, 0) AS n FROM mix_targets m LEFT JOIN s USING (source))
+SELECT source FROM t WHERE n * max_repeats < target_share * (SELECT sum(n) FROM t)"""
+)
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that cannot reach their share. The SQL measures in characters, which gives the same sources."""
+    return mixture(spark, sf_dir)[1].where("is_short").select("source")
+
+
+# ---- 9: subject areas
+
+@registry.query()
+def p9_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects of every document that has any, with the number of sentences."""
+    names = sorted(r[0] for r in table(spark, sf_dir, "subjects").select("subject").where("subject IS NOT NULL").distinct().collect())
+    return subjects.document_subjects(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "subject_labels"), names)
+
+
+@registry.query()
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without counts."""
+    return p9_subjects(spark, sf_dir).select("doc_id", "subject")
