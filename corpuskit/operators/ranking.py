@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuskit.operators.skew import heavy_hitters, skew_join
 from corpuskit.session import materialize
 
 
@@ -67,3 +68,16 @@ def global_running_sum(df: DataFrame, order: Sequence[Column | str], value: str,
     inside = Window.partitionBy("_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, 0)
     summed = placed.withColumn("_r", F.sum(value).over(inside))
     return summed.join(_starts(placed, F.coalesce(F.sum(value), F.lit(0))), "_p").withColumn(out, F.col("_s") + F.col("_r")).select(*df.columns, out)
+
+
+def ordered_rank(df: DataFrame, key: str, order: Sequence[Column | str], out: str = "rank") -> DataFrame:
+    """0-based rank of each row among the rows with its ``key``, in the order ``order``.
+
+    The rows are range-sorted by key and order, so a large group lies in many partitions; a
+    row's rank is its position less the first position of its key. Null keys form a group.
+    """
+    tagged = df.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("null")))
+    placed = global_position(tagged, ["_key", *order], "_at")
+    firsts = placed.groupBy("_key").agg(F.min("_at").alias("_first"))
+    heavy, _ = heavy_hitters(placed, "_key", 0.02)
+    return skew_join(placed, firsts, "_key", heavy).withColumn(out, F.col("_at") - F.col("_first")).select(*df.columns, out)
