@@ -82,8 +82,8 @@ def pick_references(index: DataFrame, cfg: ReferenceConfig, frame_rate: float, s
     targets = targets.withColumn("_want", F.when(F.lit(cfg.self_reference), F.lit(None)).otherwise(want).cast("bigint"))
     refs = ranked.select("speaker_int", F.col("_rank").alias("_want"), F.col("row_id").alias("ref_row_id"), (frames).alias("_t"))
     found = targets.join(refs, ["speaker_int", "_want"], "left")
-    cross = F.col("ref_row_id").isNotNull()
-    found = found.withColumn("kind", F.when(cross, "cross").otherwise("self")).withColumn("ref_row_id", F.coalesce("ref_row_id", "row_id")).withColumn("_t", F.when(cross, F.col("_t")).otherwise(frames))
+    found = found.withColumn("kind", F.when(F.col("ref_row_id").isNotNull(), "cross").otherwise("self"))
+    found = found.withColumn("ref_row_id", F.coalesce("ref_row_id", "row_id")).withColumn("_t", F.coalesce("_t", frames))
     sliceable = ((F.col("kind") == "cross") | (F.col("encoded_len") / F.lit(frame_rate) >= cfg.min_self_slice_seconds)) & (F.least(F.lit(most), F.col("_t")) > least)
     span = F.least(F.lit(most), F.col("_t")) - least + 1
     length = F.when(sliceable, least + F.pmod(hash_int(f"{seed}:length", "row_id"), span)).otherwise(F.col("_t")).cast("int")

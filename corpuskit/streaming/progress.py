@@ -37,5 +37,10 @@ def windowed_counts(events: DataFrame, at: str, kind: str, width: str, late: str
 
 
 def read_stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """A file stream over a Parquet table; the schema is that of ``like``, as streams need it beforehand."""
-    return spark.readStream.schema(like.schema).parquet(path)
+    """A file stream over a Parquet table, be it a folder or one file; the schema is that of ``like``, as streams need it beforehand."""
+    reader = spark.readStream.schema(like.schema)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return reader.parquet(path)
+    folder, _, name = path.rpartition("/")
+    return reader.option("pathGlobFilter", name).parquet(folder)
