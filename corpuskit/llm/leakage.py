@@ -129,15 +129,11 @@ def _longest_run(equal: np.ndarray) -> int:
     return int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
 
 
-def overlaps(index: SeedIndex, doc: np.ndarray, min_equal: int, min_share: float, drop: int = 6) -> list[tuple]:
-    """Best verified overlap of a document with each item: ``item, first words, length, equal words, longest run``.
+_STRETCH = 1 << 16
 
-    An overlap counts if it has ``min_equal`` equal words, which are at least ``min_share`` of
-    its length, or an unbroken run of ``min_equal`` words.
-    """
-    best: dict[int, tuple] = {}
-    span = len(index.masks[0])
-    hits = index.hits(doc)
+
+def _extend(index: SeedIndex, doc: np.ndarray, hits: np.ndarray, best: dict[int, tuple], span: int, min_equal: int, min_share: float, drop: int) -> None:
+    """Extend the hits of each (item, diagonal) and keep each item's best verified overlap."""
     group = np.flatnonzero(np.any(np.diff(hits[:, :2], axis=0) != 0, axis=1)) + 1 if len(hits) > 1 else []
     for part in np.split(hits, group) if len(hits) else []:
         item, diagonal = int(part[0, 0]), int(part[0, 1])
@@ -156,6 +152,20 @@ def overlaps(index: SeedIndex, doc: np.ndarray, min_equal: int, min_share: float
                 row = (first + a, first + a - diagonal, b - a, n_equal, run)
                 if item not in best or (row[4], row[3]) > (best[item][4], best[item][3]):
                     best[item] = row
+
+
+def overlaps(index: SeedIndex, doc: np.ndarray, min_equal: int, min_share: float, drop: int = 6) -> list[tuple]:
+    """Best verified overlap of a document with each item: ``item, first words, length, equal words, longest run``.
+
+    An overlap counts if it has ``min_equal`` equal words, which are at least ``min_share`` of
+    its length, or an unbroken run of ``min_equal`` words.
+    """
+    best: dict[int, tuple] = {}
+    span = len(index.masks[0])
+    for start in range(0, max(0, len(doc) - span + 1), _STRETCH):  # bounds the hits held at once in odd texts
+        hits = index.hits(doc[start : start + _STRETCH + span - 1])
+        hits[:, 1:] += start
+        _extend(index, doc, hits, best, span, min_equal, min_share, drop)
     return [(item, *row) for item, row in best.items()]
 
 
@@ -191,6 +201,8 @@ def leaked_items(
     source = docs.select(doc_key, doc_text)
     key_type, item_type = (df.schema[c].dataType.simpleString() for df, c in ((docs, doc_key), (items, item_key)))
     schema = f"`{doc_key}` {key_type}, `{item_key}` {item_type}, {HIT_SCHEMA}"
+    if doc_key == item_key:
+        raise ValueError("the two keys need different names")
     names = [doc_key, item_key, *[x.split()[0] for x in HIT_SCHEMA.split(", ")]]
 
     def search(block: DataFrame) -> DataFrame:

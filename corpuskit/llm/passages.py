@@ -7,18 +7,25 @@ import regex
 # A line's leading mark: a dash or bullet, a bracketed or one- to two-letter label.
 _MARK_TEXT = r"(?:[-–—•*>]+\s+|\[\w{1,12}\]:?\s+|\w{1,2}:\s+)"
 _MARK = regex.compile(_MARK_TEXT + "+")
-_END = regex.compile(r"[.!?…]+[\"'»”“’)\]]*(?=\s)|\n(?=[^\S\n]*\n)|\n(?=\s*" + _MARK_TEXT + ")")
-_ADDRESS = regex.compile(r"\S*(?:://|www\.|@)\S*|\S+\.\w{2,}/\S*")
-_WORD = regex.compile(r"\p{L}+")
+_END = regex.compile(r"(?<![.!?…])[.!?…]++[\"'»”“’)\]]*+(?=\s)|\n(?=[^\S\n]*+\n)|\n(?=[^\S\n]*+" + _MARK_TEXT + ")")
+_WORD = regex.compile(r"\p{L}{1,64}")
 _FORMAT = regex.compile(r"\p{Cf}+")
 
 
+def _is_address(token: str) -> bool:
+    host, slash, _ = token.partition("/")
+    return "://" in token or "www." in token or "@" in token or bool(slash and "." in host.strip("."))
+
+
 def words(text: str) -> list[str]:
-    """Lower-case runs of letters; addresses and invisible format characters do not count."""
+    """Lower-case runs of letters; addresses and invisible format characters do not count.
+
+    A run of more than 64 letters is cut into pieces of 64.
+    """
     if not text.isascii():
         text = _FORMAT.sub("", text)
     if "www." in text or "/" in text or "@" in text:
-        text = _ADDRESS.sub(" ", text)
+        text = " ".join(t for t in text.split() if not _is_address(t))
     return _WORD.findall(text.lower())
 
 

@@ -126,8 +126,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query()
 def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, and every stretch of a mixed one, with its language and confidence."""
-    docs = table(spark, sf_dir, "documents").withColumnRenamed("lang", "label")
-    return langid.detect_languages(docs, "doc_id", "text", "label")
+    return langid.detect_languages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
 
 
 @registry.query()
@@ -148,7 +147,16 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(docs, "doc_id", "text", items, "item_id", "text")
 
 
-@registry.query()
+_LEAK_WORDS = r"regexp_extract_all(lower(regexp_replace(text, '\p{Cf}', '', 'g')), '[\p{L}\p{Nd}]+')"
+
+
+@registry.query(
+    f"""
+WITH d AS (SELECT doc_id, {_LEAK_WORDS} AS w FROM documents), i AS (SELECT item_id, {_LEAK_WORDS} AS w FROM eval_items),
+dw AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 8), lambda p: array_to_string(w[p:p + 9], ' '))) AS g FROM d),
+iw AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 8), lambda p: array_to_string(w[p:p + 9], ' '))) AS g FROM i)
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)"""
+)
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Those with at least ten equal words in a row."""
     return p7_leaks(spark, sf_dir).where(F.col("longest_run") >= 10).select("doc_id", "item_id")
