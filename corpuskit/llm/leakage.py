@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,23 +32,17 @@ def leak_words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-class _WordHashes:
+class _WordHashes(dict):
     """64-bit hashes of words, remembered up to a bounded number."""
 
-    def __init__(self, most: int = 1_000_000) -> None:
-        self.known: dict[str, int] = {}
-        self.most = most
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
 
-    def __call__(self, words: Sequence[str]) -> np.ndarray:
-        if len(self.known) > self.most:
-            self.known.clear()
-        known, out = self.known, []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w)
-            out.append(h)
-        return np.array(out, dtype=np.uint64)
+    def of(self, words: Sequence[str]) -> np.ndarray:
+        return np.array(list(map(self.__getitem__, words)), dtype=np.uint64)
 
 
 def _seed_hashes(words: np.ndarray, mask: str, salt: int) -> np.ndarray:
@@ -74,13 +69,29 @@ class SeedIndex:
     hashes: np.ndarray
     owner: np.ndarray
     at: np.ndarray
+    @cached_property
+    def present(self) -> np.ndarray:
+        """Which leading 24 bits occur: most windows are settled by one look-up. Made where it is used, not sent."""
+        out = np.zeros(1 << 24, dtype=bool)
+        out[(self.hashes >> np.uint64(40)).astype(np.int64)] = True
+        return out
+
+    def touched(self, words: np.ndarray) -> np.ndarray:
+        """Positions where a seed of any mask begins."""
+        found = []
+        for salt, mask in enumerate(self.masks):
+            seeds = _seed_hashes(words, mask, salt)
+            some = np.flatnonzero(self.present[(seeds >> np.uint64(40)).astype(np.int64)])
+            at = np.searchsorted(self.hashes, seeds[some])
+            found.append(some[self.hashes[np.minimum(at, len(self.hashes) - 1)] == seeds[some]] if len(self.hashes) else some[:0])
+        return np.concatenate(found)
 
     @classmethod
     def build(cls, items: Sequence[tuple], masks: Sequence[str]) -> SeedIndex:
         hasher = _WordHashes()
         ids, words, h, owner, at = [], [], [], [], []
         for key, text in items:
-            own = hasher(leak_words(text))
+            own = hasher.of(leak_words(text))
             for salt, mask in enumerate(masks):
                 seeds = _seed_hashes(own, mask, salt)
                 h.append(seeds)
@@ -109,24 +120,19 @@ class SeedIndex:
         return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
 
 
-def _overlap(equal: np.ndarray, at: int, span: int, drop: int) -> tuple[int, int]:
-    """Extend a hit both ways while +1 for an equal and -2 for a different word stays within ``drop`` of the best."""
-
-    def reach(flags: np.ndarray) -> int:
-        score = np.cumsum(np.where(flags, 1, -2))
-        if not len(score):
-            return 0
-        best = np.maximum.accumulate(np.maximum(score, 0))
-        stop = np.flatnonzero(best - score > drop)
-        score = score[: stop[0]] if len(stop) else score
-        return int(score.argmax()) + 1 if len(score) and score.max() > 0 else 0
-
-    return at - reach(equal[:at][::-1]), at + span + reach(equal[at + span :])
-
-
-def _longest_run(equal: np.ndarray) -> int:
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], equal.astype(np.int8), [0]))))
-    return int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
+def _reach(flags: bytes, drop: int) -> int:
+    """How far to extend over equal (1) and different (0) words: +1 and -2, until ``drop`` below the best."""
+    score = best = far = 0
+    for i, flag in enumerate(flags, 1):
+        if flag:
+            score += 1
+            if score > best:
+                best, far = score, i
+        else:
+            score -= 2
+            if best - score > drop:
+                break
+    return far
 
 
 _STRETCH = 1 << 16
@@ -140,14 +146,18 @@ def _extend(index: SeedIndex, doc: np.ndarray, hits: np.ndarray, best: dict[int,
         own = index.words[item]
         first = max(0, diagonal)
         last = min(len(doc), diagonal + len(own))
-        equal = doc[first:last] == own[first - diagonal : last - diagonal]
+        equal = (doc[first:last] == own[first - diagonal : last - diagonal]).tobytes()
+        if equal.count(1) < min_equal:
+            continue
         done = -1
         for pos in part[:, 2]:
             if pos + span <= done:
                 continue
-            a, b = _overlap(equal, int(pos) - first, span, drop)
+            at = int(pos) - first
+            a, b = at - _reach(equal[:at][::-1], drop), at + span + _reach(equal[at + span :], drop)
             done = first + b
-            n_equal, run = int(equal[a:b].sum()), _longest_run(equal[a:b])
+            part_equal = equal[a:b]
+            n_equal, run = part_equal.count(1), max(map(len, part_equal.split(b"\0")))
             if run >= min_equal or (n_equal >= min_equal and n_equal >= min_share * (b - a)):
                 row = (first + a, first + a - diagonal, b - a, n_equal, run)
                 if item not in best or (row[4], row[3]) > (best[item][4], best[item][3]):
@@ -169,6 +179,30 @@ def overlaps(index: SeedIndex, doc: np.ndarray, min_equal: int, min_share: float
     return [(item, *row) for item, row in best.items()]
 
 
+_TOGETHER = 1 << 20
+
+
+def _suspects(index: SeedIndex, hasher: _WordHashes, texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Number and word hashes of the texts in which some seed may occur.
+
+    The words of many texts are looked at in one array; a window that runs over the border
+    of two texts can only raise a false alarm.
+    """
+    held: list[tuple[int, np.ndarray]] = []
+    size = 0
+    for i in range(len(texts) + 1):
+        if i < len(texts):
+            own = hasher.of(leak_words(texts[i].as_py()))
+            held.append((i, own))
+            size += len(own)
+        if held and (i == len(texts) or size >= _TOGETHER):
+            starts = np.concatenate(([0], np.cumsum([len(w) for _, w in held])))
+            at = index.touched(np.concatenate([w for _, w in held]))
+            for j in np.unique(np.searchsorted(starts, at, "right") - 1):
+                yield held[j]
+            held, size = [], 0
+
+
 def leaked_items(
     docs: DataFrame,
     doc_key: str,
@@ -214,8 +248,8 @@ def leaked_items(
             known, hasher = shared.value, _WordHashes()
             for batch in batches:
                 owner, rows = [], []
-                for i, text in enumerate(batch.column(1).to_pylist()):
-                    own = overlaps(known, hasher(leak_words(text)), min_equal, min_share)
+                for i, doc in _suspects(known, hasher, batch.column(1)):
+                    own = overlaps(known, doc, min_equal, min_share)
                     owner += [i] * len(own)
                     rows += own
                 yield pa.RecordBatch.from_arrays(
