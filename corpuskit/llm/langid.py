@@ -73,7 +73,8 @@ class LanguageModel:
     bias: np.ndarray
     slope: np.ndarray
     known: tuple[bool, ...]
-    cache: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
+    cache: dict[str, int] = field(default_factory=dict, repr=False)
+    scores: np.ndarray | None = field(default=None, repr=False)
 
     @property
     def languages(self) -> list[str]:
@@ -83,19 +84,26 @@ class LanguageModel:
     def pairs(self) -> list[tuple[str, str]]:
         return [p for f in self.families.values() for p in combinations(f, 2)]
 
-    def word_scores(self, word: str) -> np.ndarray:
-        got = self.cache.get(word)
-        if got is None:
-            if len(self.cache) >= _CACHE_WORDS:
-                self.cache.clear()
-            got = self.cache[word] = self.weights[_features(word, self.bits)].mean(0)
-        return got
+    def forget(self) -> None:
+        self.cache, self.scores = {}, None
+
+    def _rows_of(self, words: Sequence[str]) -> np.ndarray:
+        """Rows of ``scores`` for some words; a word is scored when it is first seen."""
+        if self.scores is None or len(self.cache) > _CACHE_WORDS:
+            self.cache, self.scores = {}, np.empty((1024, len(self.bias)))
+        for w in set(words).difference(self.cache):
+            n = len(self.cache)
+            if n == len(self.scores):
+                self.scores = np.concatenate([self.scores, np.empty_like(self.scores)])
+            self.scores[n] = self.weights[_features(w, self.bits)].mean(0)
+            self.cache[w] = n
+        return np.array(list(map(self.cache.__getitem__, words)), dtype=np.int64)
 
     def log_probabilities(self, sentences: Sequence[Sequence[str]]) -> np.ndarray:
         """log P(language) per non-empty sentence: P(family) times the coupled pairwise votes."""
         lengths = np.array([len(s) for s in sentences])
-        flat = np.stack([self.word_scores(w) for s in sentences for w in s])
-        margin = (np.add.reduceat(flat, np.concatenate(([0], np.cumsum(lengths)[:-1]))) / lengths[:, None] + self.bias) * self.slope
+        rows = self._rows_of([w for s in sentences for w in s])
+        margin = (np.add.reduceat(self.scores[rows], np.concatenate(([0], np.cumsum(lengths)[:-1]))) / lengths[:, None] + self.bias) * self.slope
         log_sigmoid = -np.logaddexp(0, -margin)
         log_not = -np.logaddexp(0, margin)
         names, langs = list(self.families), self.languages
@@ -171,7 +179,7 @@ def fit(sentences: Sequence[Sequence[str]], labels: Sequence[str], families: Map
                 p -= rate * (a / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         margin = s.mean(f.mean(w)) + b
         model.slope = _slopes(margin, y, weight)
-        model.cache.clear()
+        model.forget()
         if number + 1 < rounds:
             best = model.log_probabilities(own).argmax(1)
             kept = [i for i, p in zip(kept, best) if langs[p] == labels[i]]
@@ -223,21 +231,44 @@ def segment_languages(scores: np.ndarray, switch_cost: float = 4.0, least: int =
 SEGMENT_SCHEMA = "seg_no int, n_segments int, lang string, confidence double, n_sentences int, first_char int, last_char int"
 
 
-def text_segments(model: LanguageModel, text: str | None) -> list[tuple]:
-    """Rows of :data:`SEGMENT_SCHEMA` for one text; a text without words is one undetermined segment."""
-    own = sentence_words(text) if text else []
-    if not own:
-        return [(1, 1, UNDETERMINED, 0.0, 0, 0, len(text or ""))]
-    scores = model.log_probabilities([w for _, _, w in own])
-    tags = segment_languages(scores)
-    edges = [0, *(np.flatnonzero(np.diff(tags)) + 1).tolist(), len(own)]
+def _scored(model: LanguageModel, texts: Sequence[list]) -> Iterator[np.ndarray]:
+    """Sentence scores of each text, computed for many texts at a time."""
+    held: list[list] = []
+    size = 0
+    for i, own in enumerate(texts):
+        held.append(own)
+        size += len(own)
+        if size >= 20_000 or i + 1 == len(texts):
+            whole = model.log_probabilities([w for t in held for _, _, w in t]) if size else np.empty((0, len(model.languages)))
+            at = 0
+            for t in held:
+                yield whole[at : at + len(t)]
+                at += len(t)
+            held, size = [], 0
+
+
+def all_segments(model: LanguageModel, texts: Sequence[str | None]) -> list[list[tuple]]:
+    """Rows of :data:`SEGMENT_SCHEMA` for each text; a text without words is one undetermined segment."""
+    cut = [sentence_words(t) if t else [] for t in texts]
     out = []
-    for number, (a, b) in enumerate(zip(edges, edges[1:]), 1):
-        sure = float(np.exp(scores[a:b, tags[a]]).mean())
-        out.append((number, len(edges) - 1, model.languages[tags[a]], sure, b - a, own[a][0], own[b - 1][1]))
+    for text, own, scores in zip(texts, cut, _scored(model, cut)):
+        if not own:
+            out.append([(1, 1, UNDETERMINED, 0.0, 0, 0, len(text or ""))])
+            continue
+        tags = segment_languages(scores)
+        edges = [0, *(np.flatnonzero(np.diff(tags)) + 1).tolist(), len(own)]
+        rows = []
+        for number, (a, b) in enumerate(zip(edges, edges[1:]), 1):
+            sure = float(np.exp(scores[a:b, tags[a]]).mean())
+            rows.append((number, len(edges) - 1, model.languages[tags[a]], sure, b - a, own[a][0], own[b - 1][1]))
+        out.append(rows)
     return out
 
 
+def text_segments(model: LanguageModel, text: str | None) -> list[tuple]:
+    return all_segments(model, [text])[0]
+
+
 def training_sentences(docs: DataFrame, key: str, text: str, label: str, languages: Sequence[str], docs_per_language: int, sentences_per_language: int) -> DataFrame:
     """``words, label``: a bounded sample, by hash, of sentences of documents whose label names one of ``languages``."""
     code = language_code(label)
@@ -278,7 +309,7 @@ def detect_languages(
     languages = [x for f in families.values() for x in f]
     sample = sorted((tuple(r["words"]), r["label"]) for r in training_sentences(docs, key, text, label, languages, docs_per_language, sentences_per_language).collect())
     model = fit([s for s, _ in sample], [x for _, x in sample], families)
-    model.cache.clear()
+    model.forget()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits x classifiers doubles
     source = docs.select(key, *keep, F.col(text).alias("_text"))
     kept = [f for f in source.schema if f.name != "_text"]
@@ -291,7 +322,7 @@ def detect_languages(
         m = shared.value
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            found = [text_segments(m, t) if trained else [(1, 1, UNDETERMINED, 0.0, 0, 0, len(t or ""))] for t in texts]
+            found = all_segments(m, texts) if trained else [[(1, 1, UNDETERMINED, 0.0, 0, 0, len(t or ""))] for t in texts]
             owner = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
             rows = [r for f in found for r in f]
             own = [batch.column(i).take(owner) for i in range(len(kept))]
