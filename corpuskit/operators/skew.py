@@ -94,3 +94,16 @@ def skew_join(big: DataFrame, small: DataFrame, key: str, heavy: Sequence, how:
         extra = [F.lit(None).cast(f.dataType).alias(f.name) for f in small.schema if f.name != key]
         out = out.unionByName(missing.select(key, *[c for c in big.columns if c != key], *extra))
     return out
+
+
+def sized_join(big: DataFrame, small: DataFrame, key: str, limit_bytes: int = 32 << 20) -> DataFrame:
+    """Inner join that broadcasts ``small`` only if its measured size allows.
+
+    ``small`` is a written table of fixed-width columns with one row per key; its row count
+    comes from the file footers. Above ``limit_bytes`` the join is :func:`skew_join`.
+    """
+    width = sum(4 if t in ("int", "float") else 8 for _, t in small.dtypes) + 16
+    if small.count() * width <= limit_bytes:
+        return big.join(F.broadcast(small), key)
+    heavy, _ = heavy_hitters(big, key, 0.02)
+    return skew_join(big, small, key, heavy)
