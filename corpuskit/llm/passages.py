@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import regex
 
 # A line's leading mark: a dash or bullet, a bracketed or one- to two-letter label.
@@ -29,17 +31,10 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """Start and end of each sentence of the whole text.
-
-    A sentence ends at end marks before white space, at an empty line, and before a line
-    that opens with a mark; other line breaks do not end it. Leading marks of a line are no
-    part of it, and a stretch without a word is none.
-    """
-    out: list[tuple[int, int]] = []
+def _pieces(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of each stretch between sentence ends, without leading marks and outer white space."""
     start = 0
-    for m in [*_END.finditer(text), None]:
-        end = m.end() if m else len(text)
+    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
         at = start
         while at < end and text[at].isspace():
             at += 1
@@ -48,12 +43,26 @@ def sentences(text: str) -> list[tuple[int, int]]:
         stop = end
         while stop > at and text[stop - 1].isspace():
             stop -= 1
-        if stop > at and words(text[at:stop]):
-            out.append((at, stop))
+        if stop > at:
+            yield at, stop
         start = end
-    return out
 
 
 def sentence_words(text: str) -> list[tuple[int, int, list[str]]]:
-    """Sentences with their words."""
-    return [(a, b, words(text[a:b])) for a, b in sentences(text)]
+    """Start, end and words of each sentence of the whole text.
+
+    A sentence ends at end marks before white space, at an empty line, and before a line
+    that opens with a mark; other line breaks do not end it. Leading marks of a line are no
+    part of it, and a stretch without a word is none.
+    """
+    lower = text.lower()
+    plain = len(lower) == len(text) and not ("www." in text or "/" in text or "@" in text) and (text.isascii() or not _FORMAT.search(text))
+    if plain:  # the same words, found in place
+        find = _WORD.findall
+        return [(a, b, w) for a, b in _pieces(text) if (w := find(lower, a, b))]
+    return [(a, b, w) for a, b in _pieces(text) if (w := words(text[a:b]))]
+
+
+def sentences(text: str) -> list[tuple[int, int]]:
+    """Start and end of each sentence."""
+    return [(a, b) for a, b, _ in sentence_words(text)]
