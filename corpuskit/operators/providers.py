@@ -32,6 +32,7 @@ def file_tokenizer(path: str) -> Tokenizer:
 
     def add(df: DataFrame, text: str, out: str) -> DataFrame:
         source = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+        names = [*df.columns, out]
         schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{out}` array<int>"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +42,7 @@ def file_tokenizer(path: str) -> Tokenizer:
             model.encode_special_tokens = True
             for batch in batches:
                 ids = [e.ids for e in model.encode_batch(batch.column(batch.num_columns - 1).to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], [*df.columns, out])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], names)
 
         return source.mapInArrow(run, schema)
 
