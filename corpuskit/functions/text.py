@@ -90,13 +90,14 @@ def edit_distance(a: Column, b: Column) -> Column:
     Each distinct element of a row becomes one code point above the basic plane, and the
     built-in distance counts code points; up to a million distinct elements a row.
     """
-    known = F.array_distinct(F.concat(a, b))
 
-    def encode(xs: Column) -> Column:
+    def encode(xs: Column, known: Column) -> Column:
         codes = F.transform(xs, lambda w: F.lpad(F.hex(F.array_position(known, w) + F.lit(0xFFFF)), 8, "0"))
         return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
 
-    return F.levenshtein(encode(a), encode(b))
+    # a transform over one element binds the arrays, which would otherwise be built anew for each word
+    bound = F.array(F.struct(a.alias("a"), b.alias("b"), F.array_distinct(F.concat(a, b)).alias("k")))
+    return F.get(F.transform(bound, lambda s: F.levenshtein(encode(s["a"], s["k"]), encode(s["b"], s["k"]))), F.lit(0))
 
 
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpuskit.config import KeepConfig
 from corpuskit.functions.hashing import hash_key
 from corpuskit.operators.ranking import global_position
+from corpuskit.session import materialize
 
 
 @dataclass(frozen=True)
@@ -35,8 +36,8 @@ def keep_index(lengths: DataFrame, cfg: KeepConfig, row_id: str = "row_id", leng
     Long rows above ``tail_cap`` never stay; the others are drawn without replacement in the
     order of a hash, exactly as many as wanted, by a range-sorted position.
     """
-    plan = plan_keep(lengths, cfg, length)
-    rows = lengths.select(F.col(row_id).alias("row_id"), F.col(length).alias("orig_len"))
+    rows = materialize(lengths.select(F.col(row_id).alias("row_id"), F.col(length).alias("orig_len")))
+    plan = plan_keep(rows, cfg)
     short = rows.where(F.col("orig_len") < cfg.short_below).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(cfg.oversample - 1))))
     pool = rows.where((F.col("orig_len") >= cfg.short_below) & (F.col("orig_len") <= cfg.tail_cap))
     drawn = global_position(pool, [hash_key(cfg.seed, "row_id"), "row_id"], "_at").where(F.col("_at") < plan.n_long_kept).drop("_at")

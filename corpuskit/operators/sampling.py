@@ -13,6 +13,7 @@ from corpuskit.functions.hashing import hash_int, hash_key
 from corpuskit.operators.ranking import global_position, ordered_rank
 from corpuskit.operators.skew import heavy_hitters, skew_join
 from corpuskit.operators.speakers import SENTINEL
+from corpuskit.session import materialize
 
 NULL_SPEAKER = -1
 
@@ -48,15 +49,16 @@ def speaker_index(rows: DataFrame, cfg: ReferenceConfig, frame_rate: float) -> D
     """Adds ``speaker_int`` (-1 for null rows), ``n_clips`` and ``is_candidate``.
 
     Candidates for a reference are a speaker's clips of the least duration, or all of them
-    if none is that long.
+    if none is that long. The result is written once, as its users read it several times.
     """
+    rows = materialize(rows)
     speakers = speaker_table(rows, cfg, frame_rate)
     heavy, _ = heavy_hitters(rows.where(has_speaker()), "speaker_id", 0.02)
     known = skew_join(rows.where(has_speaker()), speakers, "speaker_id", heavy)
     seconds = F.col("encoded_len") / F.lit(frame_rate)
     known = known.withColumn("is_candidate", ~F.col("has_long") | (seconds >= cfg.min_reference_seconds)).drop("has_long")
     null = rows.where(~F.coalesce(has_speaker(), F.lit(False))).withColumns({"n_clips": F.lit(None).cast("bigint"), "speaker_int": F.lit(NULL_SPEAKER).cast("bigint"), "is_candidate": F.lit(False)})
-    return known.unionByName(null)
+    return materialize(known.unionByName(null))
 
 
 def pick_references(index: DataFrame, cfg: ReferenceConfig, frame_rate: float, seed: int = 0) -> DataFrame:
@@ -71,7 +73,7 @@ def pick_references(index: DataFrame, cfg: ReferenceConfig, frame_rate: float, s
     least, most = int(cfg.min_slice_seconds * frame_rate), int(cfg.max_slice_seconds * frame_rate)
     frames = F.col("encoded_len") + 1
     known = index.where(F.col("speaker_int") != NULL_SPEAKER).select("row_id", "speaker_int", "encoded_len", "is_candidate")
-    ranked = ordered_rank(known.where("is_candidate"), "speaker_int", ["row_id"], "_rank")
+    ranked = materialize(ordered_rank(known.where("is_candidate"), "speaker_int", ["row_id"], "_rank"))
     sizes = ranked.groupBy("speaker_int").agg(F.count("*").alias("_n"))
     heavy, _ = heavy_hitters(known, "speaker_int", 0.02)
     sized = skew_join(known, sizes, "speaker_int", heavy)
