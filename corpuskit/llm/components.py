@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,25 @@ def _ends(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e")).select("e.*")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def _least_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of one task to (vertex, component) by union-find; the component is its least vertex."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    members = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(members, pa.int64()), pa.array([find(x) for x in members], pa.int64())], ["v", "to"])
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 100, finish_below: int = 50_000) -> DataFrame:
     """``v, component`` for every vertex that occurs in ``edges (a bigint, b bigint)``.
 
     Each round orders the vertices by a fresh hash; every vertex points to the first vertex
@@ -27,16 +47,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
     The first vertex of a neighbourhood is a minimum, combined before the shuffle; a vertex
     with a large share of all edges is joined by :func:`skew_join`. Rounds are cut by
-    reliable checkpoints.
+    written tables. Once no more than ``finish_below`` edges are left, whose number is known
+    from the table, one task finishes them, as the last rounds would be nothing but overhead.
     """
     rest = materialize(edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     pointers: list[DataFrame] = []
     for number in range(max_rounds):
+        n_edges = rest.count()
+        if not n_edges:
+            break
+        if n_edges <= finish_below:
+            pointers.append(materialize(rest.coalesce(1).mapInArrow(_least_members, "v bigint, to bigint")))
+            break
         nearest = _ends(rest).groupBy("v").agg(F.min(F.struct(F.xxhash64(F.lit(number), F.col("w")).alias("h"), F.col("w").alias("x"))).alias("m"))
         own = F.struct(F.xxhash64(F.lit(number), F.col("v")).alias("h"), F.col("v").alias("x"))
         pointer = materialize(nearest.select("v", F.least("m", own).getField("x").alias("to")))
-        if not pointer.head(1):
-            break
         pointers.append(pointer)
         heavy, _ = heavy_hitters(_ends(rest), "v", 0.02)
         step = pointer

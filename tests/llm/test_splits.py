@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -29,13 +30,14 @@ def union_find(edges):
     return {frozenset(g) for g in groups.values()}
 
 
-def test_components_equal_union_find(spark):
+@pytest.mark.parametrize("finish", [0, 40, 50_000])
+def test_components_equal_union_find(spark, finish):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (250, 2))]
     edges += [(i, i + 1) for i in range(1000, 1060)]  # a chain
     edges += [(5000, 6000 + i) for i in range(300)] + [(7, 7)]  # a star, a loop
     found = defaultdict(set)
-    for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect():
+    for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), finish_below=finish).collect():
         found[r["component"]].add(r["v"])
     want = {g for g in union_find(edges) if len(g) > 1}
     assert {frozenset(g) for g in found.values()} == want
