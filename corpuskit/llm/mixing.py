@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskit.operators.ranking import global_running_sum, hash_running_sum
@@ -79,6 +79,7 @@ def weighted_mix(docs: DataFrame, key: str, source: str, size: str, targets: Dat
     used = mixture.groupBy("source").agg(F.sum("size").alias("used"))
     facts = [(t.source, t.share, t.max_repeats, t.available, t.most < t.share * budget) for t in known]
     report = spark.createDataFrame(facts, "source string, target_share double, max_repeats int, available bigint, is_short boolean").join(F.broadcast(used), "source", "left")
-    total = F.broadcast(used.agg(F.sum("used").alias("_all")))
-    report = report.crossJoin(total).select("source", "target_share", "max_repeats", "available", F.coalesce("used", F.lit(0)).alias("used"), (F.coalesce("used", F.lit(0)) / F.nullif(F.col("_all"), F.lit(0))).alias("actual_share"), "is_short")
+    used_or_0 = F.coalesce("used", F.lit(0))
+    everything = Window.partitionBy(F.lit(0))  # over the report's few rows
+    report = report.select("source", "target_share", "max_repeats", "available", used_or_0.alias("used"), (used_or_0 / F.nullif(F.sum(used_or_0).over(everything), F.lit(0))).alias("actual_share"), "is_short")
     return mixture.withColumnRenamed("key", key), report
