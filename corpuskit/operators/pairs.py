@@ -49,7 +49,8 @@ def pair_report(scores: DataFrame, cfg: PairConfig) -> DataFrame:
     per_group = scores.where(F.col("group_id").isNotNull()).groupBy("group_id").agg(F.bool_or(acceptable(cfg) & F.col("reward").isNotNull() & ~F.isnan("reward")).alias("any"))
     groups = per_group.agg(F.count("*").alias("n_groups"), F.count_if(~F.coalesce("any", F.lit(False))).alias("n_no_chosen"))
     matched = _matched(scores, cfg).agg(F.count_if("_ok").alias("n_pairs"), F.count_distinct(F.when(~F.col("_ok"), F.col("group_id"))).alias("n_no_margin"))
-    return groups.crossJoin(F.broadcast(matched))  # one row each
+    both = groups.unionByName(matched, allowMissingColumns=True)  # one row each
+    return both.agg(*[F.sum(c).alias(c) for c in ("n_groups", "n_no_chosen", "n_pairs", "n_no_margin")])
 
 
 def category_counts(df: DataFrame, category: str = "category") -> DataFrame:

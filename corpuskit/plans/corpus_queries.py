@@ -301,9 +301,10 @@ def q_cap_max_len(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query(f"WITH {USABLE_SQL} SELECT (SELECT count(*) FROM clips) AS delivered, (SELECT count(*) FROM clip) AS clips, (SELECT count(*) FROM usable) AS usable")
 def q_stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows after each stage."""
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    one = count(table(spark, sf_dir, "clips"), "delivered").crossJoin(F.broadcast(count(clips_of(spark, sf_dir), "clips")))  # single rows
-    return one.crossJoin(F.broadcast(count(usable_clips(spark, sf_dir), "usable")))
+    stages = {"delivered": table(spark, sf_dir, "clips"), "clips": clips_of(spark, sf_dir), "usable": usable_clips(spark, sf_dir)}
+    rows = [df.agg(F.count("*").alias(name)) for name, df in stages.items()]
+    both = rows[0].unionByName(rows[1], allowMissingColumns=True).unionByName(rows[2], allowMissingColumns=True)
+    return both.agg(*[F.sum(name).alias(name) for name in stages])
 
 
 # ---- reweighting
