@@ -21,18 +21,18 @@ def hash_running_sum(df: DataFrame, keys: Sequence[str], identity: Sequence[str]
     """
     h = F.xxhash64(F.lit(seed), *[F.col(c) for c in identity])
     amount = F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(0))
-    part = df.withColumns({"_h": h, "_a": amount}).withColumn("_b", F.shiftrightunsigned(F.col("_h"), 40).cast("int") % buckets)
-    part = part.repartition(*keys, "_b") if keys else part.repartition("_b")
+    # keys that are never null: the join back then uses the partitioning of the window
+    names = [f"_k{i}" for i in range(len(keys))]
+    whole = {n: F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("null")) for n, k in zip(names, keys)}
+    part = df.withColumns({"_h": h, "_a": amount, **whole}).withColumn("_b", F.shiftrightunsigned(F.col("_h"), 40).cast("int") % buckets)
+    part = part.repartition(*names, "_b")
     # the parts follow each other by number, the rows of a part by the whole hash
-    inside = Window.partitionBy(*keys, "_b").orderBy("_h", *identity).rowsBetween(Window.unboundedPreceding, 0)
-    sums = part.groupBy(*keys, "_b").agg(F.sum("_a").alias("_t"))
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_ob"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
+    inside = Window.partitionBy(*names, "_b").orderBy("_h", *identity).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*(names or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = part.groupBy(*names, "_b").agg(F.sum("_a").alias("_t"))
+    offsets = sums.select(*names, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
     summed = part.withColumn("_r", F.sum("_a").over(inside))
-    match = F.col("_b") == F.col("_ob")
-    for i, k in enumerate(keys):
-        match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return summed.join(offsets, match).withColumn(out, F.col("_r") + F.col("_o")).select(*df.columns, out)
+    return summed.join(offsets, [*names, "_b"]).withColumn(out, F.col("_r") + F.col("_o")).select(*df.columns, out)
 
 
 def hash_rank(df: DataFrame, keys: Sequence[str], identity: Sequence[str], seed: int = 0, buckets: int = 256, out: str = "rank") -> DataFrame:

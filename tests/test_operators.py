@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpuskit.config import BatchConfig, BuildConfig, CodecConfig, ConfigError, KeepConfig, LayoutConfig, PairConfig, PreferenceConfig, ReferenceConfig, RewardConfig, RolloutConfig, SourceConfig
+from corpuskit.config import BatchConfig, BuildConfig, ConfigError, KeepConfig, LayoutConfig, PairConfig, PreferenceConfig, ReferenceConfig, RewardConfig, RolloutConfig, SourceConfig
 from corpuskit.operators import build, keep_index, losses, pairs, providers, ranking, rollouts, sampling, scoring, seeds, skew, speakers
 
 
