@@ -66,27 +66,27 @@ def split_quotas(rows_by_label: Mapping[str, int], pinned_by_label: Mapping[str,
             raw[s] += 1
         return raw
 
-    index = {"source": 0, "sink": 1}
+    index = {("source",): 0, ("sink",): 1}
 
-    def node(key) -> int:
+    def node(*key: str) -> int:
         return index.setdefault(key, len(index))
 
     net = MinCostFlow(2 + len(splits) + len(labels) * (2 + len(splits)))
     arcs: dict[tuple[str, str], list[int]] = defaultdict(list)
     for s, quota in quotas(total).items():
-        net.add(node(s), 1, quota, 0)
-        net.add(node(s), 1, total, split_weight)
+        net.add(node("split", s), 1, quota, 0)
+        net.add(node("split", s), 1, total, split_weight)
     for label in labels:
         n, pinned = rows_by_label[label], pinned_by_label.get(label, 0)
-        net.add(0, node(("free", label)), n - pinned, 0)
-        net.add(0, node(("pinned", label)), pinned, 0)
+        net.add(0, node("free", label), n - pinned, 0)
+        net.add(0, node("pinned", label), pinned, 0)
         for s, quota in quotas(n).items():
-            cell = node((label, s))
-            net.add(cell, node(s), quota, 0)
-            net.add(cell, node(s), n, label_weight)
-            arcs[label, s].append(net.add(node(("free", label)), cell, n, 0))
+            cell = node("cell", label, s)
+            net.add(cell, node("split", s), quota, 0)
+            net.add(cell, node("split", s), n, label_weight)
+            arcs[label, s].append(net.add(node("free", label), cell, n, 0))
             if s == pin_to:
-                arcs[label, s].append(net.add(node(("pinned", label)), cell, n, 0))
+                arcs[label, s].append(net.add(node("pinned", label), cell, n, 0))
     net.run(0, 1)
     return {key: sum(net.flow(a) for a in own) for key, own in arcs.items()}
 
