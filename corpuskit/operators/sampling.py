@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskit.config import BatchConfig, ConfigError, ReferenceConfig
 from corpuskit.functions import sequence
 from corpuskit.functions.hashing import hash_int, hash_key
 from corpuskit.operators.ranking import global_position, ordered_rank
-from corpuskit.operators.skew import heavy_hitters, skew_join
+from corpuskit.operators.skew import heavy_hitters, sized_join, skew_join
 from corpuskit.operators.speakers import SENTINEL
 from corpuskit.session import materialize
 
@@ -106,10 +106,11 @@ def batch_count(index: DataFrame, cfg: BatchConfig, world: int = 1) -> DataFrame
 def speaker_batches(index: DataFrame, cfg: BatchConfig, epoch: int = 0, rank: int = 0) -> DataFrame:
     """``batch_id, slot, row_id, is_filler``: P speakers with K clips each, and M fillers without a speaker.
 
-    Every eligible speaker comes once an epoch, in hash order; a last block of fewer than P
+    One visit to every eligible speaker, in hash order; a last block of fewer than P
     speakers is dropped. K clips are the first by hash. Fillers go round the null rows in
     hash order, so a batch holds none twice if there are at least M; without null rows the
-    eligible rows stand in. Raises if no speaker has K clips.
+    eligible rows stand in. Raises if no speaker has K clips. This is less than an epoch,
+    for which see :func:`epoch_batches`.
     """
     cfg.validate()
     seed = cfg.epoch_seed(epoch, rank)
@@ -134,6 +135,50 @@ def speaker_batches(index: DataFrame, cfg: BatchConfig, epoch: int = 0, rank: in
     return grouped.unionByName(fillers)
 
 
+def _distinct_draws(n: Column, k: int, seed: str, *parts: str) -> Column:
+    """Array of ``k`` different numbers in [0, n), all sets alike, by Floyd's method; n must be at least k."""
+    draws = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.pmod(hash_int(seed, *parts, i), n - k + i + 1))
+    # a number that is there already gives way to the one that is new in this step
+    return F.aggregate(draws, F.array().cast("array<bigint>"), lambda got, x: F.array_append(got, F.when(F.array_contains(got, x), n - k + F.size(got)).otherwise(x)))
+
+
+def epoch_batches(index: DataFrame, cfg: BatchConfig, epoch: int = 0, rank: int = 0, world: int = 1) -> DataFrame:
+    """``batch_id, slot, row_id, is_filler``: as many batches as :func:`batch_count` says, each drawn anew.
+
+    A batch draws P different speakers, alike whatever their clips, K different clips of
+    each, out of all its clips, and M different fillers of the null rows (repeated if there
+    are fewer than M); without null rows the eligible rows stand in. Speakers and clips are
+    numbered, a batch draws numbers, and these are looked up: linear in the slots, and a
+    large speaker is many keys. Raises if fewer than P speakers have K clips.
+    """
+    cfg.validate()
+    seed = cfg.epoch_seed(epoch, rank)
+    eligible = index.where((F.col("speaker_int") != NULL_SPEAKER) & (F.col("n_clips") >= cfg.clips))
+    speakers = materialize(global_position(eligible.select("speaker_int", "n_clips").distinct(), ["speaker_int"], "_at"))
+    n_speakers, n_rows = speakers.agg(F.count("*"), F.coalesce(F.sum("n_clips"), F.lit(0))).first()
+    if n_speakers < cfg.speakers:
+        raise ConfigError(f"a batch needs {cfg.speakers} speakers with {cfg.clips} clips, there are {n_speakers}")
+    n_batches = max(1, n_rows // (cfg.speakers * cfg.clips * world))
+    batches = index.sparkSession.range(n_batches).withColumnRenamed("id", "batch_id")
+    chosen = batches.select("batch_id", F.posexplode(_distinct_draws(F.lit(n_speakers), cfg.speakers, f"{seed}:speaker", "batch_id")).alias("_p", "_at"))
+    picks = F.posexplode(_distinct_draws(F.col("n_clips"), cfg.clips, f"{seed}:clip", "batch_id", "_p")).alias("_k", "_rank")
+    wanted = sized_join(chosen, speakers, "_at").select("batch_id", "_p", "speaker_int", picks)
+    clips = ordered_rank(eligible.select("speaker_int", "row_id"), "speaker_int", ["row_id"], "_rank")
+    grouped = wanted.join(clips, ["speaker_int", "_rank"]).select("batch_id", (F.col("_p") * cfg.clips + F.col("_k")).cast("int").alias("slot"), "row_id", F.lit(False).alias("is_filler"))
+    if not cfg.fillers:
+        return grouped
+    null = index.where(F.col("speaker_int") == NULL_SPEAKER).select("row_id")
+    pool = materialize(global_position(null if null.head(1) else eligible.select("row_id"), ["row_id"], "_at"))
+    size = pool.count()
+    if size >= cfg.fillers:
+        drawn = _distinct_draws(F.lit(size), cfg.fillers, f"{seed}:filler", "batch_id")
+    else:
+        drawn = F.transform(F.sequence(F.lit(0), F.lit(cfg.fillers - 1)), lambda i: F.pmod(hash_int(f"{seed}:filler", "batch_id", i), F.lit(size)))
+    slots = batches.select("batch_id", F.posexplode(drawn).alias("_m", "_at"))
+    fillers = sized_join(slots, pool, "_at").select("batch_id", (F.lit(cfg.speakers * cfg.clips) + F.col("_m")).cast("int").alias("slot"), "row_id", F.lit(True).alias("is_filler"))
+    return grouped.unionByName(fillers)
+
+
 def collate(rows: DataFrame, channels: Sequence[str], pad: int, batch: str = "batch_id") -> DataFrame:
     """Rows with sequences padded to the longest of their batch; see :mod:`corpuskit.functions.sequence`.
 

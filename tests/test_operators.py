@@ -198,6 +198,32 @@ def test_speaker_batches(spark):
         sampling.speaker_batches(index_of(spark, [("a", 1)]), cfg)
 
 
+def test_epoch_batches_hold_a_whole_epoch(spark):
+    rows = [("big", 100)] * 300 + [(f"s{i % 7}", 100) for i in range(7 * 3)] + [("rare", 100)] * 2 + [(None, 1)] * 9
+    cfg = BatchConfig(speakers=4, clips=3, fillers=5)
+    idx = index_of(spark, rows)
+    got = sampling.epoch_batches(idx, cfg).collect()
+    who = {r["row_id"]: r["speaker_int"] for r in idx.collect()}
+    n = 321 // 12
+    assert sampling.batch_count(idx, cfg).first()["n_batches"] == n and len(got) == n * cfg.size
+    for b in range(n):
+        own = [r for r in got if r["batch_id"] == b]
+        assert sorted(r["slot"] for r in own) == list(range(cfg.size)) and len({r["row_id"] for r in own}) == cfg.size
+        assert sorted(Counter(who[r["row_id"]] for r in own if not r["is_filler"]).values()) == [3] * 4
+        assert {who[r["row_id"]] for r in own if r["is_filler"]} == {-1}
+    big = who[0]
+    assert len({r["row_id"] for r in got if who[r["row_id"]] == big}) > 3
+    assert len({who[r["row_id"]] for r in got if not r["is_filler"]}) == 8
+    assert sorted(got) != sorted(sampling.epoch_batches(idx, cfg, epoch=1).collect())
+    assert sampling.epoch_batches(idx, cfg, world=2).agg({"batch_id": "max"}).first()[0] == n // 2 - 1
+    few = sampling.epoch_batches(index_of(spark, rows[:323] + [(None, 1)] * 2), cfg).where("is_filler").collect()
+    assert len(few) == n * 5 and len({r["row_id"] for r in few}) == 2
+    assert sampling.epoch_batches(index_of(spark, rows[:321]), cfg).where("is_filler").count() == n * 5
+    assert sampling.epoch_batches(index_of(spark, [(f"s{i % 4}", 9) for i in range(12)]), cfg, world=9).where("NOT is_filler").count() == 12
+    with pytest.raises(ConfigError):
+        sampling.epoch_batches(index_of(spark, [(f"s{i % 3}", 9) for i in range(12)]), cfg)
+
+
 def test_reference_codes_and_padding(spark):
     table = spark.createDataFrame([(1, [1, 2, 3], [4, 5, 6]), (2, [7, 8], [9, 9])], "row_id bigint, c0 array<int>, c1 array<int>")
     refs = spark.createDataFrame([(1, 2, "cross", 1, 1), (2, 1, "cross", 0, 2), (3, None, "null", 0, 1)], "row_id bigint, ref_row_id bigint, kind string, ref_start int, ref_len int")
