@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from fractions import Fraction
 from functools import cached_property
 
 import numpy as np
@@ -135,6 +136,28 @@ def _reach(flags: bytes, drop: int) -> int:
     return far
 
 
+def _verified_part(flags: bytes, min_equal: int, min_share: float) -> tuple[int, int] | None:
+    """Longest stretch (the first of these) that begins and ends with an equal word and has ``min_equal`` of them and their ``min_share``.
+
+    Word counts are weighed in whole numbers, so that shares are exact. The earliest begin
+    that gives an end enough share also gives it the most equal words.
+    """
+    share = Fraction(min_share).limit_denominator(1_000_000)
+    equal = np.frombuffer(flags, np.uint8).astype(np.int64)
+    count = np.concatenate(([0], np.cumsum(equal)))
+    weight = share.denominator * count - share.numerator * np.arange(len(count))
+    begins, ends = np.flatnonzero(equal), np.flatnonzero(equal) + 1
+    if not len(ends):
+        return None
+    least = np.minimum.accumulate(weight[begins])
+    first = np.searchsorted(-least, -weight[ends])
+    ends, first = ends[first < len(begins)], first[first < len(begins)]
+    a = begins[first]
+    size = np.where((ends > a) & (count[ends] - count[a] >= min_equal), ends - a, 0)
+    at = int(size.argmax()) if len(size) else 0
+    return (int(a[at]), int(ends[at])) if len(size) and size[at] else None
+
+
 _STRETCH = 1 << 16
 
 
@@ -158,7 +181,14 @@ def _extend(index: SeedIndex, doc: np.ndarray, hits: np.ndarray, best: dict[int,
             done = first + b
             part_equal = equal[a:b]
             n_equal, run = part_equal.count(1), max(map(len, part_equal.split(b"\0")))
-            if run >= min_equal or (n_equal >= min_equal and n_equal >= min_share * (b - a)):
+            if run < min_equal and n_equal < min_share * (b - a):
+                # weak flanks: a part of the extension may pass by itself
+                if (inner := _verified_part(part_equal, min_equal, min_share)) is None:
+                    continue
+                a, b = a + inner[0], a + inner[1]
+                part_equal = equal[a:b]
+                n_equal, run = part_equal.count(1), max(map(len, part_equal.split(b"\0")))
+            if run >= min_equal or n_equal >= min_equal:
                 row = (first + a, first + a - diagonal, b - a, n_equal, run)
                 if item not in best or (row[4], row[3]) > (best[item][4], best[item][3]):
                     best[item] = row
@@ -168,7 +198,8 @@ def overlaps(index: SeedIndex, doc: np.ndarray, min_equal: int, min_share: float
     """Best verified overlap of a document with each item: ``item, first words, length, equal words, longest run``.
 
     An overlap counts if it has ``min_equal`` equal words, which are at least ``min_share`` of
-    its length, or an unbroken run of ``min_equal`` words.
+    its length, or an unbroken run of ``min_equal`` words. Where a whole extension does not,
+    its longest part that does is taken.
     """
     best: dict[int, tuple] = {}
     span = len(index.masks[0])

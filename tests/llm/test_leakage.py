@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpuskit.llm.leakage import MASKS, leak_words, leaked_items
+from corpuskit.llm.leakage import MASKS, SeedIndex, _verified_part, leak_words, leaked_items, overlaps
 
 
 def brute(docs, items, least=10):
@@ -55,6 +56,25 @@ def test_substitutions_are_tolerated(spark):
     assert got[0]["item_first_word"] == got[0]["doc_first_word"]
 
 
+def test_weak_flanks_do_not_hide_an_overlap():
+    flags = [1] * 9 + [0] + [1] * 9 + [0, 1, 1, 1] * 3
+    words = [f"x{i}" for i in range(len(flags))]
+    index = SeedIndex.build([(1, " ".join(words))], MASKS)
+    doc = SeedIndex.build([(1, " ".join(w if f else "other" for w, f in zip(words, flags)))], MASKS)
+    ((item, doc_first, item_first, n_words, n_equal, run),) = overlaps(index, doc.words[0], 10, 0.9)
+    assert (item, doc_first, item_first, run) == (0, 0, 0, 9) and n_equal >= 18 and n_equal >= 0.9 * n_words
+
+
+def test_verified_part_equals_brute_force():
+    rng = np.random.default_rng(5)
+    for share in (0.9, 0.5, 0.75):
+        for _ in range(150):
+            flags = (rng.random(rng.integers(1, 45)) < rng.choice([0.6, 0.8, 0.9])).astype(np.uint8)
+            fits = [(b - a, -a) for a in range(len(flags)) for b in range(a + 1, len(flags) + 1) if flags[a] and flags[b - 1] and flags[a:b].sum() >= max(10, share * (b - a))]
+            want = (-max(fits)[1], max(fits)[0] - max(fits)[1]) if fits else None
+            assert _verified_part(flags.tobytes(), 10, share) == want
+
+
 def test_repeats_long_texts_and_nothing(spark):
     same = "la " * 30
     assert found(run(spark, [(1, "la " * 4000)], [(1, same), (2, "lo " * 30)])) == {(1, 1)}
