@@ -43,8 +43,9 @@ def weighted_mix(docs: DataFrame, key: str, source: str, size: str, targets: Dat
     The budget is the summed size of all documents whose source is in it. Mixture:
     ``key, source, copy, size, finish, running``, in no order; ``running`` is the size up to
     and with the row in the order of ``finish``. Report, one row for each target: ``source,
-    target_share, max_repeats, available, used, actual_share, is_short``, where a source is
-    short if its size times ``max_repeats`` is less than its share of the budget.
+    target_share, max_repeats, available, used, actual_share, is_short``. Shortness is read off
+    the queue: a source is short if the last row of its last copy finishes before the virtual
+    time at which a queue that never runs dry has served its share of the budget.
 
     Each source queues its documents in the order of a hash, copy after copy; a document
     finishes at the source's summed size so far divided by the target share. All queues
@@ -66,8 +67,9 @@ def weighted_mix(docs: DataFrame, key: str, source: str, size: str, targets: Dat
     budget = sum(r["n"] for r in stats.values())
     known = [Target(r["source"], r["target_share"], r["max_repeats"], stats[r["source"]]["n"] if r["source"] in stats else 0) for r in wanted_rows]
     active = [t for t in known if t.share > 0 and t.most > 0]
-    # no row that is kept finishes later than this: one document more than the fair time for each source
-    last = fair_finish(active, budget) if active else 0.0
+    # no row that is kept finishes later than this: one document more than the fair time for each
+    # source; every source that can reach its share has a row that finishes at the budget or later
+    last = max(fair_finish(active, budget), float(budget)) if active else 0.0
     slack = max((stats[t.source]["m"] / t.share for t in active), default=0.0) * (len(active) + 1)
     copies = [(t.source, t.share, t.available, min(t.max_repeats, int((last + slack) * t.share / t.available) + 1)) for t in active]
     plan = F.broadcast(spark.createDataFrame(copies, "_source string, _w double, _n bigint, _copies int"))
@@ -76,10 +78,11 @@ def weighted_mix(docs: DataFrame, key: str, source: str, size: str, targets: Dat
     timed = queued.withColumn("finish", (F.col("copy") * F.col("_n") + F.col("_cum")) / F.col("_w")).where(F.col("finish") <= F.lit(last + slack))
     served = global_running_sum(timed.select("key", "source", "copy", "size", "finish"), ["finish", "source", "copy", "key"], "size")
     mixture = served.where(F.col("running") <= budget)
-    used = mixture.groupBy("source").agg(F.sum("size").alias("used"))
-    facts = [(t.source, t.share, t.max_repeats, t.available, t.most < t.share * budget) for t in known]
-    report = spark.createDataFrame(facts, "source string, target_share double, max_repeats int, available bigint, is_short boolean").join(F.broadcast(used), "source", "left")
+    facts = [(t.source, t.share, t.max_repeats, t.available) for t in known]
+    ends = served.groupBy("source").agg(F.max("finish").alias("_end"), F.sum(F.when(F.col("running") <= budget, F.col("size"))).alias("used"))
+    report = spark.createDataFrame(facts, "source string, target_share double, max_repeats int, available bigint").join(F.broadcast(ends), "source", "left")
     used_or_0 = F.coalesce("used", F.lit(0))
     everything = Window.partitionBy(F.lit(0))  # over the report's few rows
-    report = report.select("source", "target_share", "max_repeats", "available", used_or_0.alias("used"), (used_or_0 / F.nullif(F.sum(used_or_0).over(everything), F.lit(0))).alias("actual_share"), "is_short")
+    is_short = (F.col("target_share") > 0) & (F.coalesce("_end", F.lit(0.0)) < budget)
+    report = report.select("source", "target_share", "max_repeats", "available", used_or_0.alias("used"), (used_or_0 / F.nullif(F.sum(used_or_0).over(everything), F.lit(0))).alias("actual_share"), is_short.alias("is_short"))
     return mixture.withColumnRenamed("key", key), report

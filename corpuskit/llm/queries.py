@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuskit.functions.speaker_ids import known_speaker
@@ -194,6 +194,25 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(spark, sf_dir)[1].where("is_short").select("source")
 
 
+@registry.query(
+    """
+WITH s AS (SELECT source, count(*) AS docs, sum(length(text)) AS n FROM documents GROUP BY 1),
+t AS (SELECT m.source, target_share, max_repeats, coalesce(docs, 0) AS docs, coalesce(n, 0) AS n FROM mix_targets m LEFT JOIN s USING (source)),
+f AS (SELECT *, n * max_repeats < target_share * (SELECT sum(n) FROM t) AS short FROM t)
+SELECT source, short AS is_short, CASE WHEN short THEN docs * max_repeats END AS rows_if_short, true AS copies_fit, true AS share_fits FROM f"""
+)
+def p8_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the mixture: short sources are used up, copies stay within ``max_repeats``, the others share the rest alike."""
+    mix, report = mixture(spark, sf_dir)
+    drawn = mix.groupBy("source").agg(F.count("*").alias("n_rows"), (F.max("copy") + 1).alias("copies"), F.max("size").alias("longest"), F.max("finish").alias("end"))
+    rows = report.join(F.broadcast(drawn), "source", "left")
+    everything = Window.partitionBy(F.lit(0))  # over the report's few rows
+    # a queue that isn't dry ends within one document of the virtual time of the cut
+    cut = F.max("end").over(everything)
+    fits = F.coalesce(F.col("is_short") | (F.col("end") + F.col("longest") / F.col("target_share") * 2 >= cut), F.lit(True))
+    return rows.select("source", "is_short", F.when(F.col("is_short"), F.coalesce("n_rows", F.lit(0))).alias("rows_if_short"), F.coalesce(F.col("copies") <= F.col("max_repeats"), F.lit(True)).alias("copies_fit"), fits.alias("share_fits"))
+
+
 # ---- 9: subject areas
 
 @registry.query()
