@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -32,10 +33,16 @@ def local_session(cores: str = "*", app: str = "corpuskit", **conf: str) -> Spar
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder named by ``spark.checkpoint.dir``; make one of our own only where it is unset (tests)."""
+    """Use the shared folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (tests) gets a folder of its own; on a cluster, whose
+    machines would each write to their own disk, that is an error.
+    """
     context = spark.sparkContext
     wanted = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if wanted is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="corpuskit-checkpoint-"))
     folder = context.getCheckpointDir()
     if folder not in _FOLDERS:
@@ -55,13 +62,26 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that no plan reads any more, such as those of earlier rounds."""
+    for table in tables:
+        if path := getattr(table, "_written_to", None):
+            _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _remove_tables(spark: SparkSession, folder: str) -> None:
     try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/tables")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, f"{folder}/tables")
     except Exception:  # noqa: BLE001 - the JVM may be gone already
         pass
 
