@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskit.config import PairConfig
+from corpuskit.operators.skew import heavy_hitters, skew_join
 
 
 def acceptable(cfg: PairConfig) -> Column:
@@ -74,4 +75,4 @@ def pair_sides(pairs: DataFrame) -> DataFrame:
 def attach_samples(sides: DataFrame, tokens: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
     """Tokens of each side by (group, sample), and the prefix of its speaker if given; sides without tokens are out."""
     out = sides.join(tokens, ["group_id", "sample_idx"])
-    return out if prefixes is None else out.join(prefixes, "speaker")
+    return out if prefixes is None else skew_join(out, prefixes, "speaker", heavy_hitters(out, "speaker")[0])

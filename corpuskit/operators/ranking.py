@@ -79,5 +79,5 @@ def ordered_rank(df: DataFrame, key: str, order: Sequence[Column | str], out: st
     tagged = df.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("null")))
     placed = global_position(tagged, ["_key", *order], "_at")
     firsts = placed.groupBy("_key").agg(F.min("_at").alias("_first"))
-    heavy, _ = heavy_hitters(placed, "_key", 0.02)
+    heavy, _ = heavy_hitters(placed, "_key")
     return skew_join(placed, firsts, "_key", heavy).withColumn(out, F.col("_at") - F.col("_first")).select(*df.columns, out)

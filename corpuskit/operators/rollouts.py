@@ -9,6 +9,7 @@ from corpuskit.config import RewardConfig, RolloutConfig
 from corpuskit.functions.hashing import hash01
 from corpuskit.functions.text import frame_cap
 from corpuskit.operators.ranking import global_position
+from corpuskit.operators.skew import skew_join
 
 #: Stands for "no speaker" in rollouts; not the sentinel of prepared tables.
 NULL_ROLLOUT = "__null__"
@@ -35,7 +36,7 @@ def fan_out(seeds: DataFrame, speakers: DataFrame, cfg: RolloutConfig, shards: i
     slots = texts.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(cfg.speakers_per_text - 1))))
     is_null = (hash01(cfg.seed, "id", "slot") < F.lit(cfg.null_probability)) if n else F.lit(True)
     drawn = slots.withColumn("_at", F.when(~is_null, F.pmod(F.col("id").cast("bigint") + F.col("slot"), F.lit(max(n, 1)))))
-    named = drawn.join(pool, "_at", "left").withColumn("speaker", F.coalesce("speaker", F.lit(NULL_ROLLOUT)))
+    named = skew_join(drawn, pool, "_at", [], "left").withColumn("speaker", F.coalesce("speaker", F.lit(NULL_ROLLOUT)))
     group = F.concat(F.substring("uuid", 1, 8), F.lit("__"), F.col("speaker"), F.lit("__s"), F.col("slot"))
     gi = F.col("_text") * cfg.speakers_per_text + F.col("slot")
     return named.select(gi.alias("gi"), group.alias("group_id"), "id", "uuid", "text", "category", "slot", "speaker", F.pmod(gi, F.lit(shards)).cast("int").alias("shard"))

@@ -53,7 +53,7 @@ def speaker_index(rows: DataFrame, cfg: ReferenceConfig, frame_rate: float) -> D
     """
     rows = materialize(rows)
     speakers = speaker_table(rows, cfg, frame_rate)
-    heavy, _ = heavy_hitters(rows.where(has_speaker()), "speaker_id", 0.02)
+    heavy, _ = heavy_hitters(rows.where(has_speaker()), "speaker_id")
     known = skew_join(rows.where(has_speaker()), speakers, "speaker_id", heavy)
     seconds = F.col("encoded_len") / F.lit(frame_rate)
     known = known.withColumn("is_candidate", ~F.col("has_long") | (seconds >= cfg.min_reference_seconds)).drop("has_long")
@@ -75,7 +75,7 @@ def pick_references(index: DataFrame, cfg: ReferenceConfig, frame_rate: float, s
     known = index.where(F.col("speaker_int") != NULL_SPEAKER).select("row_id", "speaker_int", "encoded_len", "is_candidate")
     ranked = materialize(ordered_rank(known.where("is_candidate"), "speaker_int", ["row_id"], "_rank"))
     sizes = ranked.groupBy("speaker_int").agg(F.count("*").alias("_n"))
-    heavy, _ = heavy_hitters(known, "speaker_int", 0.02)
+    heavy, _ = heavy_hitters(known, "speaker_int")
     sized = skew_join(known, sizes, "speaker_int", heavy)
     targets = sized.join(ranked.select("row_id", "_rank"), "row_id", "left")
     others = F.col("_n") - F.when(F.col("_rank").isNull(), 0).otherwise(1)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpuskit.config import PairConfig, RewardConfig
 from corpuskit.functions.numeric import cosine, round_half_up
 from corpuskit.functions.text import character_error_rate, expected_seconds, normalise, word_error_rate
+from corpuskit.operators.skew import heavy_hitters, skew_join
 
 
 def latest_lines(lines: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
@@ -71,7 +72,8 @@ def with_similarity(samples: DataFrame, voices: DataFrame, vector: str = "vector
     """
     refs = voices.select(F.col(speaker), F.col(vector).alias("_voice"))
     long_enough = F.col("duration_sec") >= least_seconds
-    return samples.join(refs, speaker, "left").withColumn("sim", F.when(long_enough, cosine(F.col(vector), F.col("_voice")))).drop("_voice")
+    heavy, _ = heavy_hitters(samples, speaker)
+    return skew_join(samples, refs, speaker, heavy, "left").withColumn("sim", F.when(long_enough, cosine(F.col(vector), F.col("_voice")))).drop("_voice")
 
 
 def clean_rate(scores: DataFrame) -> DataFrame:

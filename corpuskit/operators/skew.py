@@ -4,22 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuskit.session import shuffle_width
+
 #: A mergeable sketch keeps this many counters; its error is at most about 3.5 / SKETCH_SIZE of
 #: all rows, so no key with more than that share can be missed.
 SKETCH_SIZE = 8192
 
 
-def heavy_hitters(df: DataFrame, key: str, min_share: float = 0.005, sketch_size: int = SKETCH_SIZE) -> tuple[list, int]:
-    """Keys that may own at least ``min_share`` of the rows with a non-null key, and the number of those rows.
+def heavy_share(spark: SparkSession) -> float:
+    """Share of all rows from which a key is heavy: a quarter of an average shuffle partition, from 0.1 % to 2 %."""
+    return min(0.02, max(0.001, 0.25 / shuffle_width(spark)))
+
+
+def heavy_hitters(df: DataFrame, key: str, min_share: float | None = None, sketch_size: int = SKETCH_SIZE) -> tuple[list, int]:
+    """Keys that may own at least ``min_share`` (default: :func:`heavy_share`) of the rows with a non-null key, and the number of those rows.
 
     One scan with a frequent-items sketch, merged map-side; the driver receives at most
     ``1 / min_share`` keys plus those within the sketch's error. There are no false
     negatives as long as ``min_share`` is above the sketch's error (checked); false
     positives are harmless because callers count exactly. An empty table gives ``([], 0)``.
     """
+    min_share = heavy_share(df.sparkSession) if min_share is None else min_share
     error = 3.5 / sketch_size
     if not error < min_share <= 1:
         raise ValueError(f"min_share must lie in ({error:.5f}, 1]")
@@ -40,7 +48,7 @@ def salt_of(*identity: str, salts: int) -> Column:
     return F.pmod(F.xxhash64(*identity), F.lit(salts)).cast("int")
 
 
-def per_key_records(df: DataFrame, key: str, record: str, measure: str, min_share: float = 0.005, salts: int = 64) -> DataFrame:
+def per_key_records(df: DataFrame, key: str, record: str, measure: str, min_share: float | None = None, salts: int = 64) -> DataFrame:
     """Per key: delivered rows, distinct records, and sum and maximum of a measure over distinct records.
 
     Columns: ``<key>, n_rows, n_records, total, longest, n_all``, the last being the number of
@@ -105,5 +113,5 @@ def sized_join(big: DataFrame, small: DataFrame, key: str, limit_bytes: int = 32
     width = sum(4 if t in ("int", "float") else 8 for _, t in small.dtypes) + 16
     if small.count() * width <= limit_bytes:
         return big.join(F.broadcast(small), key)
-    heavy, _ = heavy_hitters(big, key, 0.02)
+    heavy, _ = heavy_hitters(big, key)
     return skew_join(big, small, key, heavy)

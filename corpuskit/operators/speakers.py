@@ -32,7 +32,7 @@ def with_rarity(df: DataFrame, min_clips: int, speaker: str = "speaker_id") -> D
     """
     keyed = df.withColumn("_k", _key(F.col(speaker)))
     rare = keyed.groupBy("_k").count().where(F.col("count") < min_clips).select("_k", F.lit(True).alias("_rare"))
-    heavy, _ = heavy_hitters(keyed, "_k", 0.005)
+    heavy, _ = heavy_hitters(keyed, "_k")
     return skew_join(keyed, rare, "_k", heavy, "left").withColumn("is_rare", F.coalesce("_rare", F.lit(False))).select(*df.columns, "is_rare")
 
 
