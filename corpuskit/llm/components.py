@@ -43,7 +43,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100, finish_below:
     loops and repeats go. A constant share of the vertices vanishes each round, so all
     rounds together cost a small multiple of the first, and the number of rounds is
     logarithmic. The pointers of the rounds, joined from the last to the first, give the
-    component, which is one of its vertices.
+    component, which is named by its least vertex however it was found.
 
     The first vertex of a neighbourhood is a minimum, combined before the shuffle; a vertex
     with a large share of all edges is joined by :func:`skew_join`. Rounds are cut by
@@ -63,7 +63,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100, finish_below:
         own = F.struct(F.xxhash64(F.lit(number), F.col("v")).alias("h"), F.col("v").alias("x"))
         pointer = materialize(nearest.select("v", F.least("m", own).getField("x").alias("to")))
         pointers.append(pointer)
-        heavy, _ = heavy_hitters(_ends(rest), "v", 0.02)
+        heavy, _ = heavy_hitters(_ends(rest), "v")
         step = pointer
         one = skew_join(rest.withColumnRenamed("a", "v"), step, "v", heavy).select(F.col("to").alias("a"), F.col("b").alias("v"))
         two = skew_join(one, step, "v", heavy).select("a", F.col("to").alias("b"))
@@ -74,8 +74,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 100, finish_below:
         return edges.sparkSession.createDataFrame([], "v bigint, component bigint")
 
     def compose(later: DataFrame, earlier: DataFrame) -> DataFrame:
+        # in a star or a giant component most pointers share one target
         target = later.select(F.col("v").alias("to"), F.col("component"))
-        return earlier.join(target, "to", "left").select("v", F.coalesce("component", "to").alias("component"))
+        heavy, _ = heavy_hitters(earlier, "to")
+        return materialize(skew_join(earlier, target, "to", heavy, "left").select("v", F.coalesce("component", "to").alias("component")))
 
-    last = pointers[-1].select("v", F.col("to").alias("component"))
-    return reduce(compose, reversed(pointers[:-1]), last)
+    found = reduce(compose, reversed(pointers[:-1]), pointers[-1].select("v", F.col("to").alias("component")))
+    least = found.groupBy("component").agg(F.min("v").alias("least"))
+    heavy, _ = heavy_hitters(found, "component")
+    return skew_join(found, least, "component", heavy).select("v", F.col("least").alias("component"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuskit.functions.speaker_ids import known_speaker
 from corpuskit.llm import langid, leakage, mixing, packing, splits, subjects, terms, tokens, topn
 from corpuskit.plans.registry import Registry, known_speaker_sql, table
+from corpuskit.session import materialize
 
 registry = Registry()
 
@@ -17,10 +20,10 @@ CONTAINER_FRAMES = 1024
 
 # ---- 1: splits that keep related records together
 
-def clip_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clip_splits(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
     clips = table(spark, sf_dir, "clips").select("row_id", "source", known_speaker("speaker_id").alias("speaker_id"), "recording_id")
     holdout = table(spark, sf_dir, "holdout_speakers").select(known_speaker("speaker_id").alias("speaker_id"))
-    return splits.grouped_splits(clips, "row_id", ["speaker_id", "recording_id"], SPLIT_SHARES, label="source", pinned=("speaker_id", holdout))
+    return splits.grouped_splits(clips, "row_id", ["speaker_id", "recording_id"], SPLIT_SHARES, label="source", pinned=("speaker_id", holdout), **more)
 
 
 @registry.query()
@@ -43,6 +46,34 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clip_splits(spark, sf_dir).where("is_pinned").select("row_id")
 
 
+@registry.query(
+    f"""
+SELECT count(DISTINCT row_id) AS n_clips, CAST(0 AS BIGINT) AS torn_speakers, CAST(0 AS BIGINT) AS torn_recordings,
+       count(DISTINCT row_id) FILTER ({known_speaker_sql('speaker_id')} IN (SELECT {known_speaker_sql('speaker_id')} FROM holdout_speakers)) AS held_in_test
+FROM clips"""
+)
+def p1_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the splits: no speaker or recording in two of them, held-out speakers in test. All rounds of the component search are distributed."""
+    clips = table(spark, sf_dir, "clips").where("row_id IS NOT NULL").select("row_id", known_speaker("speaker_id").alias("speaker_id"), "recording_id")
+    held = table(spark, sf_dir, "holdout_speakers").select(known_speaker("speaker_id").alias("speaker_id")).where("speaker_id IS NOT NULL").distinct().withColumn("held", F.lit(True))
+    placed = materialize(clip_splits(spark, sf_dir, finish_below=0).select("row_id", "split"))
+    both = materialize(clips.join(placed, "row_id"))
+    torn = [both.where(f"{c} IS NOT NULL").groupBy(c).agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b").agg(F.count("*").alias(n)) for c, n in (("speaker_id", "torn_speakers"), ("recording_id", "torn_recordings"))]
+    in_test = both.join(F.broadcast(held), "speaker_id").where("split = 'test'").agg(F.count_distinct("row_id").alias("held_in_test"))
+    facts = [placed.agg(F.count("*").alias("n_clips")), *torn, in_test]
+    names = ["n_clips", "torn_speakers", "torn_recordings", "held_in_test"]
+    rows = [f.select(*[F.col(n) if n in f.columns else F.lit(None).cast("bigint").alias(n) for n in names]) for f in facts]
+    return reduce(DataFrame.unionByName, rows).agg(*[F.max(n).alias(n) for n in names])
+
+
+@registry.query()
+def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each source in each split, with its share of the source's rows."""
+    clips = table(spark, sf_dir, "clips").where("row_id IS NOT NULL").groupBy("row_id").agg(F.max(F.coalesce("source", F.lit(""))).alias("source"))
+    cells = clips.join(clip_splits(spark, sf_dir).select("row_id", "split", "n_rows"), "row_id").groupBy("source", "split").agg(F.sum("n_rows").alias("n_rows"))
+    return cells.withColumn("share", F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy("source")))  # a row for each source and split
+
+
 # ---- 3: frequency of every distinct term
 
 _TERMS = f"""

@@ -110,3 +110,37 @@ def test_shares_without_pins(spark):
     assert sum(got.values()) == 3000 and abs(got["train"] - 2400) <= 40 and abs(got["test"] - 300) <= 40
     per_group = df.groupBy("group").agg({"split": "approx_count_distinct"}).where("`approx_count_distinct(split)` > 1")
     assert per_group.count() == 0
+
+
+def test_profiles_are_booked_by_label():
+    """Groups over two labels and few of one: every label meets its shares within one large group."""
+    bundles = [Bundle(10, (("a", 7), ("b", 3)), False, 90), Bundle(10, (("a", 2), ("b", 8)), False, 70), Bundle(30, (("a", 15), ("b", 15)), False, 4), Bundle(1, "a", False, 120), Bundle(1, "b", False, 150), Bundle(4, (("a", 2), ("b", 2)), True, 3)]
+    cells, rows = defaultdict(float), defaultdict(float)
+    for b, s, lo, hi in allocate(bundles, SHARES, "test"):
+        for label, n in b.profile:
+            cells[label, s] += n * (hi - lo)
+            rows[label] += n * (hi - lo)
+    assert all(abs(cells[label, s] - share * rows[label]) <= 3 for label in rows for s, share in SHARES.items())
+    total = sum(rows.values())
+    assert all(abs(sum(cells[label, s] for label in rows) - share * total) <= 1 for s, share in SHARES.items())
+
+
+@pytest.mark.parametrize("profiles", [10_000, 3])
+def test_label_shares_with_exact_and_coarse_bundles(spark, profiles):
+    rng = np.random.default_rng(3)
+    rows = [(i, f"s{rng.integers(0, 700)}", None, "xyz"[rng.integers(0, 3)], 0, 0, "") for i in range(4000)]
+    df = grouped_splits(clips(spark, rows), "row_id", ["speaker_id", "recording_id"], SHARES, label="source", max_profiles=profiles)
+    got = {r["row_id"]: r for r in df.collect()}
+    assert len(got) == 4000 and len({(r["group"], r["split"]) for r in got.values()}) == len({r["group"] for r in got.values()})
+    cells = defaultdict(int)
+    for i, _, _, source, *_ in rows:
+        cells[source, got[i]["split"]] += 1
+    for source in "xyz":
+        n = sum(cells[source, s] for s in SHARES)
+        assert all(abs(cells[source, s] / n - share) < (0.01 if profiles > 3 else 0.04) for s, share in SHARES.items())
+
+
+def test_component_names_do_not_depend_on_how_they_are_found(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 200 + i) for i in range(50)] + [(300, 301)], "a bigint, b bigint")
+    one, other = ({(r["v"], r["component"]) for r in connected_components(edges, finish_below=n).collect()} for n in (0, 50_000))
+    assert one == other and {c for _, c in one} == {0, 100, 300}
