@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from fractions import Fraction
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +13,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuskit.operators.skew import heavy_hitters, skew_join
+from corpuskit.session import materialize, shuffle_width
+
 # Seed masks over a window of ten words; 1 is read, 0 ignored. Every mask reads
 # its ends, and none spans more than ten words, so ten equal words in a row are always hit.
 MASKS = ("1101100111", "1110011011", "1011110101")
@@ -62,7 +64,7 @@ def _seed_hashes(words: np.ndarray, mask: str, salt: int) -> np.ndarray:
 
 @dataclass
 class SeedIndex:
-    """Seeds of one block of held-out texts, sorted by hash."""
+    """Seeds of some held-out texts, sorted by hash."""
 
     masks: tuple[str, ...]
     ids: list
@@ -70,39 +72,27 @@ class SeedIndex:
     hashes: np.ndarray
     owner: np.ndarray
     at: np.ndarray
-    @cached_property
-    def present(self) -> np.ndarray:
-        """Which leading 24 bits occur: most windows are settled by one look-up. Made where it is used, not sent."""
-        out = np.zeros(1 << 24, dtype=bool)
-        out[(self.hashes >> np.uint64(40)).astype(np.int64)] = True
-        return out
-
-    def touched(self, words: np.ndarray) -> np.ndarray:
-        """Positions where a seed of any mask begins."""
-        found = []
-        for salt, mask in enumerate(self.masks):
-            seeds = _seed_hashes(words, mask, salt)
-            some = np.flatnonzero(self.present[(seeds >> np.uint64(40)).astype(np.int64)])
-            at = np.searchsorted(self.hashes, seeds[some])
-            found.append(some[self.hashes[np.minimum(at, len(self.hashes) - 1)] == seeds[some]] if len(self.hashes) else some[:0])
-        return np.concatenate(found)
 
     @classmethod
     def build(cls, items: Sequence[tuple], masks: Sequence[str]) -> SeedIndex:
+        """Index of (key, text) pairs."""
         hasher = _WordHashes()
-        ids, words, h, owner, at = [], [], [], [], []
-        for key, text in items:
-            own = hasher.of(leak_words(text))
+        return cls.of_words([(key, hasher.of(leak_words(text))) for key, text in items], masks)
+
+    @classmethod
+    def of_words(cls, items: Sequence[tuple], masks: Sequence[str]) -> SeedIndex:
+        """Index of (key, word hashes) pairs."""
+        h, owner, at = [], [], []
+        for number, (_, own) in enumerate(items):
             for salt, mask in enumerate(masks):
                 seeds = _seed_hashes(own, mask, salt)
                 h.append(seeds)
-                owner.append(np.full(len(seeds), len(ids), dtype=np.int32))
+                owner.append(np.full(len(seeds), number, dtype=np.int32))
                 at.append(np.arange(len(seeds), dtype=np.int32))
-            ids.append(key)
-            words.append(own)
         hashes = np.concatenate(h) if h else np.empty(0, np.uint64)
         order = np.argsort(hashes, kind="stable")
-        return cls(tuple(masks), ids, words, hashes[order], np.concatenate(owner)[order] if h else np.empty(0, np.int32), np.concatenate(at)[order] if h else np.empty(0, np.int32))
+        flat = [np.concatenate(x)[order] if x else np.empty(0, np.int32) for x in (owner, at)]
+        return cls(tuple(masks), [k for k, _ in items], [w for _, w in items], hashes[order], *flat)
 
     def hits(self, doc: np.ndarray) -> np.ndarray:
         """Distinct (item, diagonal, position in the document) of all equal seeds."""
@@ -211,10 +201,57 @@ def overlaps(index: SeedIndex, doc: np.ndarray, min_equal: int, min_share: float
 
 
 _TOGETHER = 1 << 20
+_MOST_FILTER_BITS = 28  # 32 MB
+
+
+def _all_seeds(words: np.ndarray, masks: Sequence[str]) -> np.ndarray:
+    return np.concatenate([_seed_hashes(words, mask, salt) for salt, mask in enumerate(masks)])
+
 
+def held_out_words(items: DataFrame, key: str, text: str, masks: Sequence[str] = MASKS) -> DataFrame:
+    """``item, k, n_words, words, seeds``: a number, the key, the word hashes and the distinct seed hashes of each item.
 
-def _suspects(index: SeedIndex, hasher: _WordHashes, texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """Number and word hashes of the texts in which some seed may occur.
+    An item with fewer words than a mask has no seed and cannot be searched for.
+    """
+    kind = items.schema[key].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = _WordHashes()
+        for batch in batches:
+            words = [hasher.of(leak_words(t)) for t in batch.column(1).to_pylist()]
+            lists = [pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64())) for own in (words, [np.unique(_all_seeds(w, masks)) for w in words])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in words], pa.int32()), *lists], ["k", "n_words", "words", "seeds"])
+
+    cut_up = items.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(cut, f"k {kind}, n_words int, words array<bigint>, seeds array<bigint>")
+    return cut_up.withColumn("item", F.monotonically_increasing_id())
+
+
+def presence_filter(seeds: DataFrame, n_seeds: int) -> np.ndarray:
+    """Bits at two places for each seed hash ``h``; sized from the number of seeds so that 1 bit in 128 is set.
+
+    The words of the filter are put together by the executors; at most ``2 ** 28`` bits come
+    to the driver. Beyond a million seeds the filter lets more windows through to the join,
+    never fewer.
+    """
+    bits = min(_MOST_FILTER_BITS, max(16, (256 * n_seeds).bit_length()))
+    low = F.col("h").bitwiseAND((1 << bits) - 1)
+    places = seeds.select(F.explode(F.array(F.shiftrightunsigned("h", 64 - bits), low)).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toPandas()
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _present(filter_words: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    bits = len(filter_words).bit_length() + 5
+    out = np.ones(len(seeds), dtype=bool)
+    for place in (seeds >> np.uint64(64 - bits), seeds & np.uint64((1 << bits) - 1)):
+        out &= (filter_words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+    return out
+
+
+def _suspects(filter_words: np.ndarray, masks: Sequence[str], hasher: _WordHashes, texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Number and distinct seed hashes that may occur in an item, of the texts that have any.
 
     The words of many texts are looked at in one array; a window that runs over the border
     of two texts can only raise a false alarm.
@@ -228,12 +265,32 @@ def _suspects(index: SeedIndex, hasher: _WordHashes, texts: pa.Array) -> Iterato
             size += len(own)
         if held and (i == len(texts) or size >= _TOGETHER):
             starts = np.concatenate(([0], np.cumsum([len(w) for _, w in held])))
-            at = index.touched(np.concatenate([w for _, w in held]))
-            for j in np.unique(np.searchsorted(starts, at, "right") - 1):
-                yield held[j]
+            words = np.concatenate([w for _, w in held])
+            at, hashes = [], []
+            for salt, mask in enumerate(masks):
+                seeds = _seed_hashes(words, mask, salt)
+                some = np.flatnonzero(_present(filter_words, seeds))
+                at.append(some)
+                hashes.append(seeds[some])
+            at, hashes = np.concatenate(at), np.concatenate(hashes)
+            owner = np.searchsorted(starts, at, "right") - 1
+            order = np.argsort(owner, kind="stable")
+            owner, hashes = owner[order], hashes[order]
+            edges = np.flatnonzero(np.diff(owner, prepend=-1, append=-1))
+            for a, b in zip(edges, edges[1:]):
+                yield held[owner[a]][0], np.unique(hashes[a:b])
             held, size = [], 0
 
 
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list[int]]]:
+    """Batch, first row and the rows of each run of one document in a batch sorted by document."""
+    for batch in batches:
+        uid = batch.column(0).to_numpy(zero_copy_only=False)
+        edges = [*np.flatnonzero(np.diff(uid, prepend=uid[0] - 1)).tolist(), len(uid)] if len(uid) else []
+        for a, b in zip(edges, edges[1:]):
+            yield batch, a, list(range(a, b))
+
+
 def leaked_items(
     docs: DataFrame,
     doc_key: str,
@@ -248,53 +305,68 @@ def leaked_items(
 ) -> DataFrame:
     """``doc_key, item_key`` and :data:`HIT_SCHEMA` for every document that holds part of a held-out text.
 
-    The held-out texts are the stated query set. They are taken in blocks of about
-    ``block_bytes`` of text, as many as their measured size asks for; the seeds of a block
-    are sent to all executors, every window of every document is looked up in them, and
-    each hit is extended along its diagonal and verified word by word (64-bit word hashes).
-    All windows of all whole texts are read; nothing is shuffled.
+    Every window of ten words of every whole document is hashed with each mask, in one scan
+    of the corpus, whatever the number of items. Hashes that pass a filter of the items'
+    seeds are joined with these by hash; a hash that owns many rows on either side is
+    salted by document. The distinct (document, item) pairs are joined with both texts, and
+    the hits of a pair are extended along their diagonals and verified word by word (64-bit
+    word hashes). The items' side of a join is broadcast where its measured size is at most
+    ``block_bytes``; larger ones are shuffled.
 
     Seeds tolerate substitutions at ignored positions; ``longest_run`` tells how many words
-    agree without a break. Null and short texts (fewer words than a mask) match nothing.
-    Repeated item keys are items of their own and may give repeated rows.
+    agree without a break. Null and short texts (fewer words than a mask) match nothing;
+    :func:`held_out_words` tells which items these are. Repeated item keys are items of their
+    own and may give repeated rows.
     """
     if len({len(m) for m in masks}) != 1 or any(m[0] + m[-1] != "11" for m in masks) or len(masks[0]) > min_equal:
         raise ValueError("masks need one span of at most min_equal and must read both ends")
-    held = items.select(F.col(item_key).alias("k"), F.col(item_text).alias("t"))
-    size = held.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-size // block_bytes))
-    source = docs.select(doc_key, doc_text)
-    key_type, item_type = (df.schema[c].dataType.simpleString() for df, c in ((docs, doc_key), (items, item_key)))
-    schema = f"`{doc_key}` {key_type}, `{item_key}` {item_type}, {HIT_SCHEMA}"
     if doc_key == item_key:
         raise ValueError("the two keys need different names")
+    key_type, item_type = (df.schema[c].dataType.simpleString() for df, c in ((docs, doc_key), (items, item_key)))
+    spark = docs.sparkSession
+    held = materialize(held_out_words(items, item_key, item_text, masks))
+    n_seeds, n_words = held.agg(F.coalesce(F.sum(F.size("seeds")), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    item_seeds = held.select("item", F.explode("seeds").alias("h"))
+    shared = spark.sparkContext.broadcast(presence_filter(item_seeds, n_seeds))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, hasher = shared.value, _WordHashes()
+        for batch in batches:
+            found = list(_suspects(known, masks, hasher, batch.column(2)))
+            rows = pa.array([i for i, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in batch.columns], pa.array([h.view(np.int64) for _, h in found], pa.list_(pa.int64()))], ["uid", "d", "t", "seeds"])
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_key).alias("d"), F.col(doc_text).alias("t"))
+    suspects = materialize(numbered.mapInArrow(look, f"uid bigint, d {key_type}, t string, seeds array<bigint>"))
+    hashes = suspects.select("uid", F.explode("seeds").alias("h"))
+    if n_seeds * 32 <= block_bytes:
+        met = hashes.join(F.broadcast(item_seeds), "h")
+    else:
+        salts = shuffle_width(spark)
+        heavy = sorted({*heavy_hitters(hashes, "h")[0], *heavy_hitters(item_seeds, "h")[0]})
+        is_heavy = F.col("h").isin(*heavy) if heavy else F.lit(False)
+        salted = hashes.withColumn("s", F.when(is_heavy, F.pmod(F.xxhash64("uid"), F.lit(salts))).otherwise(0).cast("int"))
+        spread = item_seeds.withColumn("s", F.explode(F.when(is_heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+        met = salted.join(spread, ["h", "s"])
+    pairs = met.select("uid", "item").distinct()
+    words = held.select("item", "k", "words")
+    if n_words * 16 <= block_bytes:
+        pairs = pairs.join(F.broadcast(words), "item")
+    else:
+        pairs = materialize(pairs)
+        pairs = skew_join(pairs, words, "item", heavy_hitters(pairs, "item")[0])
+    both = pairs.join(suspects.select("uid", "d", "t"), "uid").select("uid", "d", "t", "k", "words").sortWithinPartitions("uid")
     names = [doc_key, item_key, *[x.split()[0] for x in HIT_SCHEMA.split(", ")]]
 
-    def search(block: DataFrame) -> DataFrame:
-        index = SeedIndex.build([(r["k"], r["t"]) for r in block.collect()], masks)
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        item_arrow = _arrow_type(item_type)
-
-        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, hasher = shared.value, _WordHashes()
-            for batch in batches:
-                owner, rows = [], []
-                for i, doc in _suspects(known, hasher, batch.column(1)):
-                    own = overlaps(known, doc, min_equal, min_share)
-                    owner += [i] * len(own)
-                    rows += own
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(owner, pa.int64())), pa.array([known.ids[r[0]] for r in rows], item_arrow), *[pa.array([r[j] for r in rows], pa.int32()) for j in range(1, 6)]], names
-                )
-
-        return source.mapInArrow(look, schema)
-
-    out = None
-    for number in range(n_blocks):
-        part = search(held if n_blocks == 1 else held.where(F.pmod(F.xxhash64("k"), F.lit(n_blocks)) == number))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _arrow_type(name: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = _WordHashes()
+        for batch, first, rows in _by_document(batches):
+            doc = hasher.of(leak_words(batch.column(2)[first].as_py()))
+            own = batch.column(4).slice(first, len(rows))
+            flat, ends = own.flatten().to_numpy().view(np.uint64), np.cumsum([0, *[len(x) for x in own]])
+            index = SeedIndex.of_words([(i, flat[ends[j] : ends[j + 1]]) for j, i in enumerate(rows)], masks)
+            found = sorted(overlaps(index, doc, min_equal, min_share))
+            at = pa.array([rows[r[0]] for r in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(3).take(at), *[pa.array([r[j] for r in found], pa.int32()) for j in range(1, 6)]], names)
+
+    return both.mapInArrow(verify, f"`{doc_key}` {key_type}, `{item_key}` {item_type}, {HIT_SCHEMA}")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpuskit.llm.leakage import MASKS, SeedIndex, _verified_part, leak_words, leaked_items, overlaps
+from corpuskit.llm.leakage import MASKS, SeedIndex, _verified_part, held_out_words, leak_words, leaked_items, overlaps
 
 
 def brute(docs, items, least=10):
@@ -85,3 +85,39 @@ def test_repeats_long_texts_and_nothing(spark):
 
 def test_masks_read_their_ends():
     assert all(len(m) == 10 and m[0] == m[-1] == "1" for m in MASKS)
+
+
+@pytest.mark.parametrize("block", [64 << 20, 1])
+def test_hot_seeds_and_hot_items(spark, block):
+    shared = "thank you all so much for listening and see you again very soon"
+    items = [(k, f"{shared} item{k} has its own end of words and nothing else at all") for k in range(20)]
+    docs = [(d, f"start{d} {shared} end{d}") for d in range(400)] + [(900 + d, f"nothing of note in text {d} " * 3) for d in range(300)]
+    assert found(run(spark, docs, items, block_bytes=block)) == {(d, k) for d in range(400) for k in range(20)}
+
+
+@pytest.mark.parametrize("per_ten,share,least", [(1, 0.9, 0.97), (2, 0.8, 0.9)])
+def test_recall_of_passages_with_substitutions(spark, per_ten, share, least):
+    """1,000 planted passages of 20 to 40 words, with so many random words of each ten replaced."""
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=60))) for k in range(100)]
+    docs, planted = [], set()
+    for d in range(1000):
+        k = rng.randrange(100)
+        own = items[k][1].split()
+        n = rng.choice([20, 30, 40])
+        a = rng.randint(0, 60 - n)
+        part = own[a : a + n]
+        for block in range(0, n, 10):
+            for i in rng.sample(range(10), per_ten):
+                part[block + i] = "changed"
+        docs.append((d, " ".join(rng.choices(vocabulary, k=30) + part + rng.choices(vocabulary, k=30))))
+        planted.add((d, k))
+    docs += [(2000 + d, " ".join(rng.choices(vocabulary, k=90))) for d in range(500)]
+    got = {(r["doc_id"], r["item_id"]) for r in run(spark, docs, items, min_share=share).collect()}
+    assert got <= planted and len(got) >= least * len(planted)
+
+
+def test_short_items_are_told(spark):
+    items = spark.createDataFrame([(1, "nine words are too few for any of these"), (2, "ten words are just enough for all of the masks"), (3, None)], "item_id bigint, text string")
+    assert {r["k"]: len(r["seeds"]) > 0 for r in held_out_words(items, "item_id", "text").collect()} == {1: False, 2: True, 3: False}
