@@ -18,7 +18,6 @@ from corpuskit.llm.passages import sentence_words
 FAMILIES: dict[str, tuple[str, ...]] = {"germanic": ("en", "de", "nl"), "romance": ("fr", "es", "pt"), "slavic": ("ru",)}
 UNDETERMINED = "und"
 
-_TRAIN_WORDS = 200  # words of one training sentence at most; prediction uses every word
 _CACHE_WORDS = 400_000
 
 
@@ -269,15 +268,22 @@ def text_segments(model: LanguageModel, text: str | None) -> list[tuple]:
     return all_segments(model, [text])[0]
 
 
-def training_sentences(docs: DataFrame, key: str, text: str, label: str, languages: Sequence[str], docs_per_language: int, sentences_per_language: int) -> DataFrame:
-    """``words, label``: a bounded sample, by hash, of sentences of documents whose label names one of ``languages``."""
+def training_sentences(docs: DataFrame, key: str, text: str, label: str, languages: Sequence[str], docs_per_language: int, sentences_per_language: int, words_per_sentence: int) -> DataFrame:
+    """``words, label``: a bounded sample, by hash, of sentences of documents whose label names one of ``languages``.
+
+    Sentences of more than ``words_per_sentence`` words are not drawn. The labels are counted
+    first, so that about twice the wanted documents of each come to the ranking, whatever
+    the number of tasks.
+    """
     code = language_code(label)
     labelled = docs.select(F.col(text).alias("text"), code.alias("label"), F.xxhash64(F.lit("langid"), F.col(key)).alias("h")).where(F.col("label").isin(*languages) & F.col("text").isNotNull())
-    few = labelled.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("r") <= docs_per_language)
+    share = labelled.groupBy("label").agg((F.lit(2.0 * docs_per_language + 50) / F.count("*")).alias("share"))  # a row for each language
+    drawn = labelled.join(F.broadcast(share), "label").where((F.col("h").cast("double") / float(1 << 64) + 0.5) < F.col("share")).drop("share")
+    few = drawn.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("r") <= docs_per_language)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(w[:_TRAIN_WORDS], lab, zlib.crc32(f"{h}:{a}".encode())) for t, lab, h in zip(*(batch.column(i).to_pylist() for i in range(3))) for a, _, w in sentence_words(t)]
+            rows = [(w, lab, zlib.crc32(f"{h}:{a}".encode())) for t, lab, h in zip(*(batch.column(i).to_pylist() for i in range(3))) for a, _, w in sentence_words(t) if len(w) <= words_per_sentence]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["words", "label", "h"])
 
     cut_up = few.select("text", "label", "h").mapInArrow(cut, "words array<string>, label string, h bigint")
@@ -293,13 +299,14 @@ def detect_languages(
     families: Mapping[str, Sequence[str]] = FAMILIES,
     docs_per_language: int = 400,
     sentences_per_language: int = 2000,
+    words_per_sentence: int = 200,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row per segment of each document: ``key, seg_no, n_segments, lang, confidence, ...`` (:data:`SEGMENT_SCHEMA`).
 
     The machines are fitted on a sample of labelled documents of this table: at most
     ``docs_per_language`` documents and ``sentences_per_language`` sentences for each
-    language the label column names, chosen by hash. They then read every sentence of
+    language the label column names, chosen by hash, of sentences of at most ``words_per_sentence`` words. They then read every sentence of
     every document. A language without any labelled sentence is never predicted; without
     any labelled sentence at all every segment is undetermined with confidence 0.
 
@@ -307,7 +314,7 @@ def detect_languages(
     further columns to carry along; others are ignored.
     """
     languages = [x for f in families.values() for x in f]
-    sample = sorted((tuple(r["words"]), r["label"]) for r in training_sentences(docs, key, text, label, languages, docs_per_language, sentences_per_language).collect())
+    sample = sorted((tuple(r["words"]), r["label"]) for r in training_sentences(docs, key, text, label, languages, docs_per_language, sentences_per_language, words_per_sentence).collect())
     model = fit([s for s, _ in sample], [x for _, x in sample], families)
     model.forget()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits x classifiers doubles

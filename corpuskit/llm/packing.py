@@ -61,20 +61,6 @@ def optimal_buckets(histogram: Mapping[int, int], n_buckets: int) -> list[int]:
     return sorted(bounds)
 
 
-def bucket_containers(parts: DataFrame, identity: Sequence[str], capacity: int, n_buckets: int = 32, seed: int = 0) -> DataFrame:
-    """Token-budget batches inside optimal length buckets; adds ``container`` (string).
-
-    A bucket with upper bound L holds ``capacity // L`` pieces a container; which ones is
-    decided by a hash rank, so no bucket is gathered anywhere.
-    """
-    bounds = optimal_buckets({max(1, k): v for k, v in length_histogram(parts).items()}, n_buckets)
-    upper = F.element_at(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b >= F.col("piece_length")), 1) if bounds else F.lit(capacity)
-    bucketed = parts.withColumn("_bucket", upper.cast("int"))
-    ranked = hash_rank(bucketed, ["_bucket"], [*identity, "piece"], seed, out="_rank")
-    per = F.greatest(F.lit(1), F.floor(F.lit(capacity) / F.col("_bucket")))
-    return ranked.withColumn("container", F.concat_ws("-", F.col("_bucket"), F.floor(F.col("_rank") / per))).drop("_bucket", "_rank")
-
-
 def best_fit_patterns(histogram: Mapping[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """Best-fit decreasing over a length histogram, whole groups of equal containers at a time.
 
@@ -115,6 +101,37 @@ def best_fit_patterns(histogram: Mapping[int, int], capacity: int) -> list[tuple
     return rows
 
 
+def _placed(parts: DataFrame, identity: Sequence[str], slots: Sequence[tuple], seed: int) -> DataFrame:
+    """Pieces with ``_name`` and the ``_number`` of their container, by their hash rank among the pieces of their length.
+
+    ``slots`` has a few rows ``name, length, first rank, last rank + 1, per container, first
+    container`` for each distinct length, so its size is bounded by the capacity.
+    """
+    table = parts.sparkSession.createDataFrame(slots, "_name string, _l bigint, _from bigint, _to bigint, _per bigint, _first bigint")
+    ranked = hash_rank(parts, ["piece_length"], [*identity, "piece"], seed, out="_rank")
+    hit = (F.col("piece_length") == F.col("_l")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
+    placed = ranked.join(F.broadcast(table), hit)
+    return placed.withColumn("_number", F.col("_first") + F.floor((F.col("_rank") - F.col("_from")) / F.col("_per")))
+
+
+def bucket_containers(parts: DataFrame, identity: Sequence[str], capacity: int, n_buckets: int = 32, seed: int = 0) -> DataFrame:
+    """Token-budget batches inside optimal length buckets; adds ``container`` (string).
+
+    The batches of a bucket take pieces by their exact lengths up to the capacity, the best
+    fit first, and never from another bucket. Both the buckets and the batches come from
+    the histogram, so no bucket is gathered anywhere.
+    """
+    parts = materialize(parts)
+    histogram = length_histogram(parts)
+    slots, lower = [], -1
+    for bound in optimal_buckets({max(1, k): v for k, v in histogram.items()}, n_buckets):
+        own = {k: n for k, n in histogram.items() if lower < k <= bound}
+        slots += [(str(bound), *row) for row in best_fit_patterns(own, capacity)]
+        lower = bound
+    placed = _placed(parts, identity, slots, seed)
+    return placed.withColumn("container", F.concat_ws("-", "_name", "_number")).select(*parts.columns, "container")
+
+
 def pattern_containers(parts: DataFrame, identity: Sequence[str], capacity: int, seed: int = 0) -> DataFrame:
     """Best-fit decreasing packing of all pieces; adds ``container`` (bigint).
 
@@ -122,10 +139,5 @@ def pattern_containers(parts: DataFrame, identity: Sequence[str], capacity: int,
     container by its hash rank among the pieces of its length.
     """
     parts = materialize(parts)
-    rows = best_fit_patterns(length_histogram(parts), capacity)
-    slots = parts.sparkSession.createDataFrame(rows, "_l bigint, _from bigint, _to bigint, _per bigint, _first bigint")
-    ranked = hash_rank(parts, ["piece_length"], [*identity, "piece"], seed, out="_rank")
-    # slots has a few rows per distinct length, so its size is bounded by the capacity
-    hit = (F.col("piece_length") == F.col("_l")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
-    placed = ranked.join(F.broadcast(slots), hit)
-    return placed.withColumn("container", F.col("_first") + F.floor((F.col("_rank") - F.col("_from")) / F.col("_per"))).select(*parts.columns, "container")
+    slots = [("", *row) for row in best_fit_patterns(length_histogram(parts), capacity)]
+    return _placed(parts, identity, slots, seed).withColumn("container", F.col("_number")).select(*parts.columns, "container")

@@ -10,7 +10,7 @@ import regex
 _MARK_TEXT = r"(?:[-–—•*>]+\s+|\[\w{1,12}\]:?\s+|\w{1,2}:\s+)"
 _MARK = regex.compile(_MARK_TEXT + "+")
 _END = regex.compile(r"(?<![.!?…])[.!?…]++[\"'»”“’)\]]*+(?=\s)|\n(?=[^\S\n]*+\n)|\n(?=[^\S\n]*+" + _MARK_TEXT + ")")
-_WORD = regex.compile(r"\p{L}{1,64}")
+_WORD = regex.compile(r"\p{L}++")
 _FORMAT = regex.compile(r"\p{Cf}+")
 
 
@@ -20,10 +20,7 @@ def _is_address(token: str) -> bool:
 
 
 def words(text: str) -> list[str]:
-    """Lower-case runs of letters; addresses and invisible format characters do not count.
-
-    A run of more than 64 letters is cut into pieces of 64.
-    """
+    """Lower-case runs of letters; addresses and invisible format characters do not count."""
     if not text.isascii():
         text = _FORMAT.sub("", text)
     if "www." in text or "/" in text or "@" in text:

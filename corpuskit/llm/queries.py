@@ -127,8 +127,34 @@ def p4_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query("SELECT DISTINCT group_id, chosen_idx, rejected_idx FROM pref_pairs WHERE chosen_n_frames + rejected_n_frames > 1024")
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs that exceed a container and had to be split."""
-    return p4_containers(spark, sf_dir).where("n_pieces > 1 AND piece = 0").select(*_PAIR)
+    """Pairs that exceed a container and had to be split: those whose pieces lie in several containers."""
+    spread = p4_containers(spark, sf_dir).groupBy(*_PAIR).agg(F.min("container").alias("_a"), F.max("container").alias("_b"))
+    return spread.where("_a < _b").select(*_PAIR)
+
+
+_PIECES_SQL = """
+WITH i AS (SELECT group_id, chosen_idx, rejected_idx, max(CAST(chosen_n_frames AS BIGINT) + rejected_n_frames) AS n FROM pref_pairs WHERE chosen_n_frames + rejected_n_frames >= 0 GROUP BY ALL)
+SELECT CAST(count(*) AS BIGINT) AS n_items, CAST(sum(greatest(1, ceil(n / 1024.0))) AS BIGINT) AS n_pieces, CAST(sum(n) AS BIGINT) AS frames,
+       CAST(0 AS BIGINT) AS overfull, true AS below_bound FROM i"""
+
+
+def _packed(parts: DataFrame) -> DataFrame:
+    """One row on a packing: what it holds, containers beyond the capacity, and whether it keeps to the any-fit bound of twice the volume."""
+    loads = parts.groupBy("container").agg(F.sum("piece_length").alias("load"), F.count("*").alias("n"), F.count_if(F.col("piece") == 0).alias("items"))
+    row = loads.agg(F.coalesce(F.sum("items"), F.lit(0)).alias("n_items"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pieces"), F.sum("load").alias("frames"), F.count_if(F.col("load") > CONTAINER_FRAMES).alias("overfull"), F.count("*").alias("used"))
+    return row.select("n_items", "n_pieces", "frames", "overfull", (F.col("used") <= 2 * F.col("frames") / CONTAINER_FRAMES + 32).alias("below_bound"))
+
+
+@registry.query(_PIECES_SQL)
+def p4_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the packing: nothing is lost, nothing overfull, no needless container."""
+    return _packed(p4_containers(spark, sf_dir))
+
+
+@registry.query(_PIECES_SQL)
+def p4_bucket_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the batches inside length buckets."""
+    return _packed(p4_buckets(spark, sf_dir))
 
 
 # ---- 5: top N within every group

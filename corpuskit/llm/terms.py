@@ -7,22 +7,27 @@ from collections.abc import Iterator, Mapping
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_RUN_SCHEMA = "term string, kind int, occurrences bigint, records bigint, first string, last string, part int"
+_RUN_TYPES = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32())
+
+
 def _scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (term, kind, record) rows to one row per run of (term, kind): occurrences and distinct records.
+    """Sorted (term, kind, record, part) rows to one row per run of (term, kind).
 
-    A run may go on over any number of batches; only its last row is kept between them.
+    A run has its occurrences, its distinct records, and the first and last of these. It
+    may go on over any number of batches; only its last row is kept between them.
     """
-    last: tuple | None = None  # term, kind, record of the row before
-    open_run: list | None = None  # term, kind, occurrences, records
+    names = [x.split()[0] for x in _RUN_SCHEMA.split(", ")]
+    open_run: list | None = None
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        term, kind, record = batch.column(0), batch.column(1), batch.column(2)
+        term, kind, record, part = (batch.column(i) for i in range(4))
 
         def differs(a: pa.Array) -> np.ndarray:
             out = np.ones(n, bool)
@@ -31,57 +36,47 @@ def _scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         new_run = differs(term) | differs(kind)
         new_record = new_run | differs(record)
-        if last is not None and (term[0].as_py(), kind[0].as_py()) == last[:2]:
-            new_run[0] = False
-            new_record[0] = record[0].as_py() != last[2]
+        joins = open_run is not None and [term[0].as_py(), kind[0].as_py()] == open_run[:2]
+        if joins:
+            new_record[0] = record[0].as_py() != open_run[5]
         new_record &= pc.is_valid(record).to_numpy(zero_copy_only=False)
-        starts = np.flatnonzero(new_run)
-        edges = np.concatenate(([0], starts[starts > 0], [n]))
-        occurrences = np.diff(edges)
-        records = np.add.reduceat(new_record.astype(np.int64), edges[:-1])
-        closed: list[list] = []
-        first = 0
-        if open_run is not None:
-            if not new_run[0]:
-                open_run[2] += int(occurrences[0])
-                open_run[3] += int(records[0])
-                first = 1
-            if first < len(occurrences):
-                closed.append(open_run)
-                open_run = None
-        if first < len(occurrences):
-            at = pa.array(edges[first:-1])
-            terms, kinds = term.take(at[:-1]), kind.take(at[:-1])
-            if closed:
-                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(closed[0], (pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["term", "kind", "occurrences", "records"])
-            if len(at) > 1:
-                yield pa.RecordBatch.from_arrays(
-                    [terms.cast(pa.string()), kinds.cast(pa.int32()), pa.array(occurrences[first:-1], pa.int64()), pa.array(records[first:-1], pa.int64())],
-                    ["term", "kind", "occurrences", "records"],
-                )
-            tail = int(edges[-2])
-            open_run = [term[tail].as_py(), kind[tail].as_py(), int(occurrences[-1]), int(records[-1])]
-        last = (term[n - 1].as_py(), kind[n - 1].as_py(), record[n - 1].as_py())
+        edges = np.append(np.flatnonzero(new_run), n)
+        counts, records = np.diff(edges), np.add.reduceat(new_record.astype(np.int64), edges[:-1])
+        starts, ends = pa.array(edges[:-1]), pa.array(edges[1:] - 1)
+        runs = [list(x) for x in zip(*(c.to_pylist() for c in (term.take(starts), kind.take(starts))), counts.tolist(), records.tolist(), *(c.to_pylist() for c in (record.take(starts), record.take(ends), part.take(starts))))]
+        if joins:
+            first = runs[0]
+            runs[0] = [*open_run[:2], open_run[2] + first[2], open_run[3] + first[3], open_run[4], first[5], open_run[6]]
+        elif open_run is not None:
+            runs.insert(0, open_run)
+        open_run = runs.pop()
+        if runs:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*runs), _RUN_TYPES)], names)
     if open_run is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(open_run, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["term", "kind", "occurrences", "records"])
+        yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(open_run, _RUN_TYPES)], names)
 
 
 def term_frequencies(df: DataFrame, term: str, records: Mapping[str, str]) -> DataFrame:
     """Per term: ``occurrences`` (rows) and, for each entry ``name: column`` of ``records``, distinct non-null values.
 
-    The (term, kind, record) rows are range-partitioned and sorted on all three columns, so a
-    term that owns a third of all rows is spread over many sort partitions, and equal pairs
-    always meet in one. Each partition is scanned once; a term at the border of partitions
-    gives one partial row in each, and their counts add up because no pair is in both.
+    The (term, kind, record) rows are range-partitioned and sorted with a row number as last
+    resort, so neither a term that owns a third of all rows nor a pair that is repeated as often
+    lies in one partition. Each partition is scanned once; a term at the border of partitions
+    gives one partial row in each. Their counts add up, less one record wherever a
+    partition begins with the record with which the one before ends; a term has at most
+    one such row a partition.
 
     Rows with a null term count for nothing. A null record adds an occurrence but no record.
     An empty table gives no rows. Terms are compared as strings, exactly.
     """
     names = list(records)
     kinds = [F.struct(F.lit(i).alias("kind"), F.col(records[name]).cast("string").alias("record")) for i, name in enumerate(names)]
-    pairs = df.where(F.col(term).isNotNull()).select(F.col(term).cast("string").alias("term"), F.explode(F.array(*kinds)).alias("p")).select("term", "p.kind", "p.record")
-    order = ["term", "kind", "record"]
-    runs = pairs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan_runs, "term string, kind int, occurrences bigint, records bigint")
+    known = df.where(F.col(term).isNotNull()).select(F.col(term).cast("string").alias("term"), F.array(*kinds).alias("p"), F.pmod(F.monotonically_increasing_id(), F.lit(8192)).cast("int").alias("salt"))
+    pairs = known.select("term", F.explode("p").alias("p"), "salt").select("term", "p.kind", "p.record", "salt")
+    order = ["term", "kind", "record", "salt"]
+    runs = pairs.repartitionByRange(*order).sortWithinPartitions(*order).select("term", "kind", "record", F.spark_partition_id().alias("part")).mapInArrow(_scan_runs, _RUN_SCHEMA)
+    before = F.lag("last").over(Window.partitionBy("term", "kind").orderBy("part"))
+    runs = runs.withColumn("records", F.col("records") - F.coalesce((F.col("first") == before).cast("int"), F.lit(0)))
     counts = [F.coalesce(F.sum(F.when(F.col("kind") == i, F.col("records"))), F.lit(0)).alias(name) for i, name in enumerate(names)]
     return runs.groupBy("term").agg(F.sum(F.when(F.col("kind") == 0, F.col("occurrences"))).alias("occurrences"), *counts)
 

@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpuskit.llm.mixing import Target, fair_finish, weighted_mix
@@ -64,3 +66,16 @@ def test_the_mixture_does_not_depend_on_partitions(spark, parts):
     got = sorted((r["id"], r["copy"]) for r in mix.collect())
     test_the_mixture_does_not_depend_on_partitions.seen = getattr(test_the_mixture_does_not_depend_on_partitions, "seen", got)
     assert got == test_the_mixture_does_not_depend_on_partitions.seen
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("ab'sé漢1 \n\t\u2003\x1c\u200b.!?")), min_size=1, max_size=40), st.integers(120, 200))
+def test_long_texts_have_the_tokens_of_the_whole(part, times):
+    encoder = load_encoder(TOKENIZER)
+    text = (part + "x ") * times
+    assert count_tokens(encoder, text) == len(encoder.encode_ordinary(text))
+
+
+def test_long_runs():
+    encoder = load_encoder(TOKENIZER)
+    assert count_tokens(encoder, " " * 1_000_000 + "x") > 0 and count_tokens(encoder, "a" * 1_000_000) == len(encoder.encode_ordinary("a" * 1_000_000))

@@ -26,6 +26,18 @@ def test_frequencies_against_brute_force(spark, parts):
     assert got == {t: (n[t], len(recs[t]), len(docs[t])) for t in n}
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_a_hot_pair_lies_in_many_partitions(spark, adaptive):
+    rows = [("hot", 7)] * 4000 + [("hot", None)] * 3000 + [("hot", i) for i in range(5, 9)] + [(f"t{i % 50}", i) for i in range(500)]
+    df = spark.createDataFrame(rows, "term string, rec int").repartition(5)
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        got = {r["term"]: (r["occurrences"], r["recs"]) for r in term_frequencies(df, "term", {"recs": "rec"}).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == {"hot": (7004, 4)} | {f"t{i}": (10, 10) for i in range(50)}
+
+
 def test_empty_and_marks(spark):
     empty = spark.createDataFrame([], "term string, rec int")
     assert term_frequencies(empty, "term", {"recs": "rec"}).count() == 0
