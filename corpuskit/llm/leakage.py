@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -82,17 +83,20 @@ class SeedIndex:
     @classmethod
     def of_words(cls, items: Sequence[tuple], masks: Sequence[str]) -> SeedIndex:
         """Index of (key, word hashes) pairs."""
+        flat = np.concatenate([w for _, w in items]) if items else np.empty(0, np.uint64)
+        starts = np.cumsum([0, *[len(w) for _, w in items]])
         h, owner, at = [], [], []
-        for number, (_, own) in enumerate(items):
-            for salt, mask in enumerate(masks):
-                seeds = _seed_hashes(own, mask, salt)
-                h.append(seeds)
-                owner.append(np.full(len(seeds), number, dtype=np.int32))
-                at.append(np.arange(len(seeds), dtype=np.int32))
-        hashes = np.concatenate(h) if h else np.empty(0, np.uint64)
+        for salt, mask in enumerate(masks):
+            # the windows of all texts at once, less those that run over a border
+            seeds = _seed_hashes(flat, mask, salt)
+            own = np.searchsorted(starts, np.arange(len(seeds)), "right") - 1
+            inside = np.flatnonzero(np.arange(len(seeds)) + len(mask) <= starts[own + 1])
+            h.append(seeds[inside])
+            owner.append(own[inside].astype(np.int32))
+            at.append((inside - starts[own[inside]]).astype(np.int32))
+        hashes = np.concatenate(h)
         order = np.argsort(hashes, kind="stable")
-        flat = [np.concatenate(x)[order] if x else np.empty(0, np.int32) for x in (owner, at)]
-        return cls(tuple(masks), [k for k, _ in items], [w for _, w in items], hashes[order], *flat)
+        return cls(tuple(masks), [k for k, _ in items], [w for _, w in items], hashes[order], np.concatenate(owner)[order], np.concatenate(at)[order])
 
     def hits(self, doc: np.ndarray) -> np.ndarray:
         """Distinct (item, diagonal, position in the document) of all equal seeds."""
@@ -126,13 +130,18 @@ def _reach(flags: bytes, drop: int) -> int:
     return far
 
 
+@lru_cache
+def _exact(share: float) -> Fraction:
+    return Fraction(share).limit_denominator(1_000_000)
+
+
 def _verified_part(flags: bytes, min_equal: int, min_share: float) -> tuple[int, int] | None:
     """Longest stretch (the first of these) that begins and ends with an equal word and has ``min_equal`` of them and their ``min_share``.
 
     Word counts are weighed in whole numbers, so that shares are exact. The earliest begin
     that gives an end enough share also gives it the most equal words.
     """
-    share = Fraction(min_share).limit_denominator(1_000_000)
+    share = _exact(min_share)
     equal = np.frombuffer(flags, np.uint8).astype(np.int64)
     count = np.concatenate(([0], np.cumsum(equal)))
     weight = share.denominator * count - share.numerator * np.arange(len(count))
@@ -171,6 +180,8 @@ def _extend(index: SeedIndex, doc: np.ndarray, hits: np.ndarray, best: dict[int,
             done = first + b
             part_equal = equal[a:b]
             n_equal, run = part_equal.count(1), max(map(len, part_equal.split(b"\0")))
+            if n_equal < min_equal:
+                continue
             if run < min_equal and n_equal < min_share * (b - a):
                 # weak flanks: a part of the extension may pass by itself
                 if (inner := _verified_part(part_equal, min_equal, min_share)) is None:
