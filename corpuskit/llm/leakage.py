@@ -168,7 +168,13 @@ def _extend(index: SeedIndex, doc: np.ndarray, hits: np.ndarray, best: dict[int,
         own = index.words[item]
         first = max(0, diagonal)
         last = min(len(doc), diagonal + len(own))
-        equal = (doc[first:last] == own[first - diagonal : last - diagonal]).tobytes()
+        same = doc[first:last] == own[first - diagonal : last - diagonal]
+        # an overlap with min_share has a window of ten with at least this many equal words: with
+        # one less in each, 10 a + r words would hold too few, of all a the likeliest is 1 and of all r it is 9
+        count = np.cumsum(same)
+        if len(count) < 10 or max(count[9], (count[10:] - count[:-10]).max(initial=0)) < min(10, -(-(19 * _exact(min_share) - 9) // 1)):
+            continue
+        equal = same.tobytes()
         if equal.count(1) < min_equal:
             continue
         done = -1
@@ -360,13 +366,13 @@ def leaked_items(
         spread = item_seeds.withColumn("s", F.explode(F.when(is_heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
         met = salted.join(spread, ["h", "s"])
     pairs = met.select("uid", "item").distinct()
-    words = held.select("item", "k", "words")
+    words, texts = held.select("item", "k", "words"), suspects.select("uid", "d", "t")
     if n_words * 16 <= block_bytes:
-        pairs = pairs.join(F.broadcast(words), "item")
+        both = pairs.join(texts, "uid").join(F.broadcast(words), "item")  # the words join after the shuffle
     else:
         pairs = materialize(pairs)
-        pairs = skew_join(pairs, words, "item", heavy_hitters(pairs, "item")[0])
-    both = pairs.join(suspects.select("uid", "d", "t"), "uid").select("uid", "d", "t", "k", "words").sortWithinPartitions("uid")
+        both = skew_join(pairs, words, "item", heavy_hitters(pairs, "item")[0]).join(texts, "uid")
+    both = both.select("uid", "d", "t", "k", "words").sortWithinPartitions("uid")
     names = [doc_key, item_key, *[x.split()[0] for x in HIT_SCHEMA.split(", ")]]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
