@@ -18,6 +18,7 @@ def _need(ok: bool, message: str) -> None:
 
 @dataclass(frozen=True)
 class CodecConfig:
+    # The codec's geometry.
     num_layers: int = 8
     levels: tuple[int, ...] = (8, 7, 6, 6)
     unfold: bool = True
@@ -60,6 +61,7 @@ class TokenConfig:
 
 @dataclass(frozen=True)
 class LayoutConfig:
+    # The text layout the stored tables were made with.
     enabled: bool = True
     target: int = 16
     apply_below: int = 13
@@ -112,6 +114,7 @@ class BuildConfig:
 
 @dataclass(frozen=True)
 class ReferenceConfig:
+    # Bounds of reference slices.
     min_slice_seconds: float = 3.0
     max_slice_seconds: float = 15.0
     min_reference_seconds: float = 3.0
@@ -166,6 +169,7 @@ class RolloutConfig:
 
 @dataclass(frozen=True)
 class RewardConfig:
+    # Expected durations and weights of the reward.
     base_seconds: float = 0.7
     seconds_per_word: float = 0.4
     min_ratio: float = 0.3
@@ -231,3 +235,43 @@ def _set(node: Any, path: list[str], text: str, whole: str) -> Any:
     else:
         value = text
     return replace(node, **{path[0]: value})
+
+
+# Number types a model may be trained in.
+DTYPES = ("float32", "float16", "bfloat16")
+
+
+@dataclass(frozen=True)
+class AdapterConfig:
+    rank: int = 16
+    alpha: float = 32.0
+    dropout: float = 0.05
+    targets: tuple[str, ...] = ("q_proj", "v_proj")
+    last_layers: int = 8
+
+    def validate(self) -> None:
+        _need(self.rank >= 1 and self.last_layers >= 1, "an adapter needs a rank and layers of at least 1")
+        _need(self.alpha > 0, "an adapter's alpha must be positive")
+        _need(0.0 <= self.dropout < 1.0, "an adapter's dropout must lie in [0, 1)")
+        _need(bool(self.targets), "an adapter needs target modules")
+
+
+@dataclass(frozen=True)
+class TrainingConfig:
+    heads: tuple[str, ...] = ()
+    dtype: str = "bfloat16"
+    bf16: bool = True
+    fp16: bool = False
+    voice_cloning: bool = True
+    contrastive: bool = True
+    adapter: AdapterConfig | None = None
+
+    def validate(self, codec: CodecConfig, build: BuildConfig | None = None) -> None:
+        _need(not self.heads or len(self.heads) == codec.channels, f"{len(self.heads)} heads for {codec.channels} channels")
+        _need(self.dtype in DTYPES, f"dtype must be one of {', '.join(DTYPES)}")
+        _need(not (self.bf16 and self.fp16), "bf16 and fp16 exclude each other")
+        _need(self.bf16 == (self.dtype == "bfloat16"), "bf16 goes with dtype bfloat16")
+        _need(self.voice_cloning or not self.contrastive, "the contrastive loss needs voice cloning")
+        _need(build is None or not self.voice_cloning or build.add_speaker, "voice cloning needs speaker ids")
+        if self.adapter is not None:
+            self.adapter.validate()

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from corpuskit.functions.hashing import hash01
+
 
 def round_half_up(c: Column, digits: int) -> Column:
     """floor(x * 10^digits + 0.5) / 10^digits: plain double arithmetic, alike in every engine; no negative zero."""
@@ -78,3 +80,19 @@ def cosine_schedule(step: Column, base: float, warmup: int, total: int) -> Colum
     """Linear warm-up, then half a cosine down to 0."""
     done = clamp((step - F.lit(warmup)).cast("double") / F.lit(float(max(1, total - warmup))), 0.0, 1.0)
     return F.when(step < warmup, F.lit(base) * (step + 1).cast("double") / F.lit(float(max(1, warmup)))).otherwise(F.lit(base) * F.lit(0.5) * (F.lit(1.0) + F.cos(F.lit(math.pi) * done)))
+
+
+def draw_token(logits: Column, *uniform_key: Column, seed: int | str = 0) -> Column:
+    """0-based index drawn with the probabilities of the softmax of ``logits``; null entries are never drawn.
+
+    The greatest of logit - ln(-ln(u)), where u is a hash of the key and the index: the draw is
+    exact and depends on nothing else.
+    """
+    noisy = F.transform(logits, lambda x, i: F.when(x.isNotNull(), F.struct((x - F.log(-F.log(hash01(seed, *uniform_key, i) + F.lit(2.0**-33)))).alias("v"), (-i).alias("i"))))
+    return -F.array_max(F.filter(noisy, lambda s: s.isNotNull()))["i"]
+
+
+def recent_distinct(column: str, key: str, order: str, size: int) -> Column:
+    """Sorted distinct values of the ``size`` rows before each row of its key; a key's rows are one clip's frames."""
+    window = Window.partitionBy(key).orderBy(order).rowsBetween(-size, -1)
+    return F.array_sort(F.array_distinct(F.collect_list(column).over(window)))

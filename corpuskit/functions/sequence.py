@@ -61,3 +61,26 @@ def stacked(channels: Sequence[Column]) -> Column:
 def text_of(a: Column) -> Column:
     """Array as comma-separated text, for comparing across engines."""
     return F.array_join(F.transform(a, lambda x: x.cast("string")), ",", "null")
+
+
+def unconditional_ids(mode: str, start_of_text: int, end_of_text: int, start_of_speech: int) -> list[int]:
+    """Text ids of the branch without a text: its empty frame (``empty_text``) or the start of speech alone (``audio_only``)."""
+    if mode not in ("empty_text", "audio_only"):
+        raise ValueError(f"unknown mode {mode!r}")
+    return [start_of_text, end_of_text, start_of_speech] if mode == "empty_text" else [start_of_speech]
+
+
+def forced_layout(prefix: int, n_text: Column, n_frames: Column, width: Column, most_frames: Column) -> dict[str, Column]:
+    """Mask and positions of a sequence prefix + text + frames, padded on the right to ``width`` positions.
+
+    Frame t is predicted at the position before it and has its own state at its own
+    position; both are given for ``most_frames`` frames, held inside the width.
+    """
+    start, last = F.lit(prefix) + n_text, width - 1
+    steps = F.sequence(F.lit(0), most_frames - 1)
+    return {
+        "mask": F.concat(repeated(1, start + n_frames), repeated(0, width - start - n_frames)),
+        "predict_at": F.transform(steps, lambda t: F.least(start - 1 + t, last)),
+        "state_at": F.transform(steps, lambda t: F.least(start + t, last)),
+        "valid": F.transform(steps, lambda t: (t < n_frames).cast("int")),
+    }

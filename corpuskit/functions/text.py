@@ -109,3 +109,27 @@ def word_error_rate(reference: Column, hypothesis: Column) -> Column:
 def character_error_rate(reference: Column, hypothesis: Column) -> Column:
     """Character edits per reference character of two normalised texts; 1 for an empty hypothesis, null for an empty reference."""
     return F.when(F.length(hypothesis) == 0, F.lit(1.0)).when(F.length(reference) > 0, F.levenshtein(reference, hypothesis).cast("double") / F.length(reference))
+
+
+def nested(column: Column | str, path: str, default: str | None = None) -> Column:
+    """Text at a dotted path of a JSON column; the default where the path or the whole text is missing."""
+    c = F.col(column) if isinstance(column, str) else column
+    return F.coalesce(F.get_json_object(c, "$." + path), F.lit(default))
+
+
+def iso_utc(time: Column | str) -> Column:
+    """A time as ISO 8601 text in UTC, to the second; the session's zone must be UTC."""
+    c = F.col(time) if isinstance(time, str) else time
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def parse_iso(text: Column | str) -> Column:
+    """The time of such a text; null where it is none."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))
+
+
+def without_brackets(text: Column | str) -> Column:
+    """Stage directions in square, round or angle brackets taken out, as before error rates are measured."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.regexp_replace(c, r"\[[^\]]*\]|\([^)]*\)|<[^>]*>", "")

@@ -55,3 +55,13 @@ def keep_report(lengths: DataFrame, cfg: KeepConfig, length: str = "orig_len") -
 def gather(table: DataFrame, index: DataFrame, row_id: str = "row_id") -> DataFrame:
     """The rows of ``table`` named by the index, as often as it names them."""
     return table.join(index.select(F.col("row_id").alias(row_id), "copy"), row_id)
+
+
+def sorted_index(index: DataFrame) -> DataFrame:
+    """The index with ``position``, its rows in the order of ``row_id`` and copy."""
+    return global_position(index, ["row_id", "copy"], "position")
+
+
+def index_tag(cfg: KeepConfig) -> str:
+    """Name of the mixture in the names of its files."""
+    return f"short{cfg.short_below}_t{round(100 * cfg.fraction)}"

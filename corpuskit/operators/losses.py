@@ -132,3 +132,17 @@ def query_cosines(df: DataFrame, vector: str, k: int) -> DataFrame:
     pairs = [numeric.dot(F.col("_q")[i], F.col("_q")[j]) for i in range(k) for j in range(i)]
     staged = staged.withColumn("_c", F.array(*pairs))
     return staged.withColumns({"cos_mean": F.aggregate("_c", F.lit(0.0), lambda s, x: s + x) / F.size("_c"), "cos_max": F.array_max("_c")}).drop("_q", "_c")
+
+
+def query_spread(vector: Column, k: int) -> Column:
+    """Mean over dimensions of the standard deviation (of a sample) across the k queries of a flat vector."""
+    q = _queries(vector, k)
+    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / F.size(xs)
+    dims = F.transform(F.get(q, F.lit(0)), lambda x, j: F.transform(q, lambda r: F.get(r, j).cast("double")))
+    return mean(F.transform(dims, lambda xs: F.sqrt(mean(F.transform(xs, lambda x: (x - mean(xs)) * (x - mean(xs)))) * F.lit(k / max(k - 1, 1)))))
+
+
+def total_loss(heads: DataFrame, stop: DataFrame, batch: str, stop_weight: float) -> DataFrame:
+    """``batch, loss``: mean of the heads' losses plus the weighted stop loss; a batch without either counts it as 0."""
+    mean = heads.groupBy(batch).agg(F.avg("loss").alias("_h"))
+    return mean.join(stop.select(batch, F.col("loss").alias("_s")), batch, "full").select(batch, (F.coalesce("_h", F.lit(0.0)) + F.lit(stop_weight) * F.coalesce("_s", F.lit(0.0))).alias("loss"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskit.config import PairConfig
+from corpuskit.functions.hashing import hash_key
+from corpuskit.operators.ranking import global_position
 from corpuskit.operators.skew import heavy_hitters, skew_join
 
 
@@ -76,3 +78,25 @@ def attach_samples(sides: DataFrame, tokens: DataFrame, prefixes: DataFrame | No
     """Tokens of each side by (group, sample), and the prefix of its speaker if given; sides without tokens are out."""
     out = sides.join(tokens, ["group_id", "sample_idx"])
     return out if prefixes is None else skew_join(out, prefixes, "speaker", heavy_hitters(out, "speaker")[0])
+
+
+def pair_batches(pairs: DataFrame, size: int, seed: int, epoch: int = 0) -> DataFrame:
+    """``batch_id, slot`` of every pair in the epoch's own shuffle; the last batch may be short."""
+    identity = ["group_id", "chosen_idx", "rejected_idx"]
+    placed = global_position(pairs.select(*identity), [hash_key(f"{seed}:{epoch}", *identity), *identity], "_at")
+    return placed.select(*identity, F.floor(F.col("_at") / size).alias("batch_id"), (F.col("_at") % size).cast("int").alias("slot"))
+
+
+def training_pairs(pairs: DataFrame, tokens: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """One row per pair with the tokens of both sides and the speaker's prefix; pairs that lack any of them are out.
+
+    Sides are looked up as two rows per pair and brought together again by pair.
+    ``tokens`` has one row per (group, sample), ``prefixes`` one per speaker.
+    """
+    identity = ["group_id", "chosen_idx", "rejected_idx"]
+    side = lambda name: F.struct(F.lit(name).alias("side"), F.col(f"{name}_idx").alias("sample_idx"))
+    sides = pairs.select(*identity, "speaker", F.explode(F.array(side("chosen"), side("rejected"))).alias("s")).select(*identity, "speaker", "s.*")
+    found = attach_samples(sides, tokens.select("group_id", "sample_idx", "tokens"), prefixes.select("speaker", "prefix"))
+    both = [F.max(F.when(F.col("side") == name, F.col("tokens"))).alias(f"{name}_tokens") for name in ("chosen", "rejected")]
+    whole = found.groupBy(*identity).agg(F.first("prefix").alias("prefix"), *both)
+    return whole.where(F.col("chosen_tokens").isNotNull() & F.col("rejected_tokens").isNotNull())

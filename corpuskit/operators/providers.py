@@ -6,13 +6,16 @@ work on Arrow batches.
 
 from __future__ import annotations
 
+import io
+import wave
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.functions.hashing import hash01
+from corpuskit.functions.hashing import hash01, hash_int
 from corpuskit.functions.text import stand_in_ids, words
 
 #: (table, text column, new column) -> table with an ``array<int>`` column.
@@ -67,3 +70,62 @@ def stand_in_embedder(speaker: str, size: int = 16, null_speaker: str = "__null_
         return df.withColumn(out, F.when(F.col(speaker).isNotNull() & (F.col(speaker) != null_speaker), vector))
 
     return add
+
+
+#: (groups with ``group_id, max_frames``, samples per group, new columns) -> one row per sample.
+Policy = Callable[[DataFrame, int], DataFrame]
+
+
+def stand_in_policy(codes: int = 1024, seed: int = 0, spread: int = 400) -> Policy:
+    """Samples ``tokens, n_frames, truncated`` of each group from hashes of group, sample and frame.
+
+    A sample stops after a number of frames that is uniform in [1, ``spread``], or at the
+    group's ``max_frames``, where it is truncated.
+    """
+
+    def add(groups: DataFrame, samples: int) -> DataFrame:
+        rows = groups.withColumn("sample_idx", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+        stop = F.lit(1) + F.pmod(hash_int(f"{seed}:stop", "group_id", "sample_idx"), F.lit(spread))
+        rows = rows.withColumn("truncated", stop > F.col("max_frames")).withColumn("n_frames", F.least(stop, F.col("max_frames")).cast("int"))
+        first, step = hash_int(f"{seed}:first", "group_id", "sample_idx"), hash_int(f"{seed}:step", "group_id", "sample_idx")
+        return rows.withColumn("tokens", F.transform(F.sequence(F.lit(0), F.col("n_frames") - 1), lambda i: F.pmod(first + i * step, F.lit(codes)).cast("int")))
+
+    return add
+
+
+def stand_in_prefixes(speakers: DataFrame, size: int = 4) -> DataFrame:
+    """``speaker, prefix``: a fixed vector for each speaker, the null speaker's included like any other."""
+    return speakers.select("speaker").distinct().withColumn("prefix", F.array(*[hash01("prefix", "speaker", F.lit(i)) for i in range(size)]))
+
+
+#: (table with ``content``, new column) -> table with the waveform at the codec's rate as ``array<float>``.
+Decoder = Callable[[DataFrame, str], DataFrame]
+
+
+def wave_decoder(rate: int) -> Decoder:
+    """Uncompressed 16-bit wave files to one channel at ``rate``, by the mean of the channels and linear interpolation; null where there is no such file."""
+
+    def samples(content: bytes | None) -> np.ndarray | None:
+        try:
+            with wave.open(io.BytesIO(content or b"")) as f:
+                if f.getsampwidth() != 2:
+                    return None
+                raw = np.frombuffer(f.readframes(f.getnframes()), "<i2").reshape(-1, f.getnchannels()).mean(1) / 32768.0
+                at = np.arange(int(len(raw) * rate / f.getframerate())) * f.getframerate() / rate
+                return np.interp(at, np.arange(len(raw)), raw).astype(np.float32) if len(raw) else raw.astype(np.float32)
+        except (wave.Error, EOFError, ValueError):
+            return None
+
+    def add(df: DataFrame, out: str) -> DataFrame:
+        rest = [f for f in df.schema if f.name != "content"]
+        source = df.select(*[f.name for f in rest], "content")
+        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"`{out}` array<float>"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                waves = pa.array([samples(c) for c in batch.column(batch.num_columns - 1).to_pylist()], pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], waves], [*[f.name for f in rest], out])
+
+        return source.mapInArrow(run, schema)
+
+    return add

@@ -46,6 +46,13 @@ def with_frame_cap(groups: DataFrame, reward: RewardConfig, rollout: RolloutConf
     return groups.withColumn("max_frames", frame_cap(F.col("text"), reward, rollout, frame_rate))
 
 
+def shard_groups(groups: DataFrame, shard: int, shards: int, limit: int | None = None) -> DataFrame:
+    """The groups of one shard, after ``limit``, if given, has kept the first groups of all shards."""
+    if limit is not None:
+        groups = groups.orderBy("gi").limit(limit)
+    return groups.where(F.pmod(F.col("gi"), F.lit(shards)) == shard)
+
+
 def unfinished(groups: DataFrame, manifest: DataFrame, samples: int) -> DataFrame:
     """Groups without all their manifest lines; repeated lines of a sample count once.
 

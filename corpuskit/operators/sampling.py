@@ -214,3 +214,16 @@ def pad_references(rows: DataFrame, channels: int, batch: str = "batch_id") -> D
     codes = F.concat("ref_codes", F.array_repeat(F.array_repeat(F.lit(0), channels), gap.cast("int")))
     mask = F.concat(sequence.repeated(1, F.col("ref_len")), sequence.repeated(0, gap))
     return both.withColumn("ref_codes", codes).withColumn("ref_mask", mask).drop("_max")
+
+
+def speaker_summary(index: DataFrame) -> DataFrame:
+    """One row: speakers, those with a single clip, null rows, and their percentages."""
+    known = F.col("speaker_int") != NULL_SPEAKER
+    row = index.agg(
+        F.count("*").alias("_n"),
+        F.count_distinct(F.when(known, F.col("speaker_int"))).alias("n_speakers"),
+        F.count_if(known & (F.col("n_clips") == 1)).alias("n_singletons"),
+        F.count_if(~known).alias("n_null_rows"),
+    )
+    percent = lambda a, b: F.lit(100.0) * F.col(a) / F.greatest(F.col(b), F.lit(1))
+    return row.select("n_speakers", "n_singletons", "n_null_rows", percent("n_singletons", "n_speakers").alias("pct_singletons"), percent("n_null_rows", "_n").alias("pct_null_rows"))

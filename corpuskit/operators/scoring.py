@@ -78,3 +78,15 @@ def with_similarity(samples: DataFrame, voices: DataFrame, vector: str = "vector
 
 def clean_rate(scores: DataFrame) -> DataFrame:
     return scores.agg(F.count("*").alias("n"), F.count_if("clean").alias("n_clean"), F.avg(F.col("clean").cast("int")).alias("rate"))
+
+
+def assemble(manifest: DataFrame, transcripts: DataFrame, similarities: DataFrame) -> DataFrame:
+    """Every line of the manifest with its transcript and similarity, by ``(group_id, sample_idx)``.
+
+    The three tables are joined by key, never by position. A sample without a transcript has
+    a null one (its recognition failed), one without a similarity has none. The tables have one row a sample
+    (see :func:`latest_lines`); lines without a key are out.
+    """
+    key = ["group_id", "sample_idx"]
+    lines = manifest.where(F.col("group_id").isNotNull() & F.col("sample_idx").isNotNull())
+    return lines.join(transcripts.select(*key, "transcript"), key, "left").join(similarities.select(*key, "sim"), key, "left")

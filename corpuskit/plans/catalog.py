@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpuskit.plans import corpus_queries, skew_queries, training_queries
+from corpuskit.plans import assembly_queries, corpus_queries, skew_queries, training_queries
 from corpuskit.plans.registry import Query
 
-_REGISTRIES = (skew_queries.registry, corpus_queries.registry, training_queries.registry)
+_REGISTRIES = (skew_queries.registry, corpus_queries.registry, training_queries.registry, assembly_queries.registry)
 
 
 def queries() -> dict[str, Query]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Sequence
 
@@ -90,3 +91,44 @@ def audio_references(spark: SparkSession, path: str, suffix: str = "*.wav") -> D
 def pool_references(rows: DataFrame, row_id: str = "row_id") -> DataFrame:
     """``speaker`` named ``pool_00``, ``pool_01`` ... by row number."""
     return rows.withColumn("speaker", F.format_string("pool_%02d", F.col(row_id)))
+
+
+def count_files(spark: SparkSession, folder: str, suffix: str = "") -> int:
+    """Files of a folder whose names end so, subfolders included; 0 if it is missing. Names only are read."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return 0
+    found, n = fs.listFiles(p, True), 0
+    while found.hasNext():
+        n += found.next().getPath().getName().endswith(suffix)
+    return n
+
+
+def require_built(spark: SparkSession, table: str, keep_index: str | None = None, checkpoint: str | None = None) -> None:
+    """Fails before any work if the table was never completely written, or a named index or local checkpoint is missing.
+
+    A checkpoint may be a name in a model registry; only one that is written as a path is looked for.
+    """
+
+    def there(path: str) -> bool:
+        p = spark._jvm.org.apache.hadoop.fs.Path(os.path.expanduser(path))
+        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+    if not there(table):
+        raise ConfigError(f"no table at {table}; build it first")
+    if not there(f"{table}/_SUCCESS"):
+        raise ConfigError(f"the table at {table} was not completely written")
+    if keep_index and not there(keep_index):
+        raise ConfigError(f"no keep index at {keep_index}")
+    if checkpoint and checkpoint.startswith(("/", "./", "../", "~")) and not there(checkpoint):
+        raise ConfigError(f"no checkpoint at {checkpoint}")
+
+
+def require_rows(table: DataFrame, voice_cloning: bool = False, frame_rate: float | None = None, heads: Sequence[str] | None = None) -> DataFrame:
+    """The table, if it has a row and training with voices has the settings it needs."""
+    if not table.head(1):
+        raise ConfigError("the training table is empty")
+    if voice_cloning and (not frame_rate or not heads):
+        raise ConfigError("training with voices needs the frame rate and the heads")
+    return table

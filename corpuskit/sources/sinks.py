@@ -58,3 +58,22 @@ def provenance(stage: str, config: dict, **more) -> dict:
         "config": config,
         **more,
     }
+
+
+def write_keep_index(index: DataFrame, folder: str, tag: str, replace: bool = False) -> str:
+    """The sorted index ``row_id, copy, orig_len`` as ``folder/keep_index_<tag>``; returns that path."""
+    path = f"{folder}/keep_index_{tag}"
+    index.orderBy("row_id", "copy").write.mode("overwrite" if replace else "errorifexists").parquet(path)
+    return path
+
+
+def write_tokens(tokens: DataFrame, folder: str, shard: int) -> None:
+    """Token rows of one shard in a folder of their own, so that writers never meet; a shard that runs again replaces its own."""
+    tokens.write.mode("overwrite").parquet(f"{folder}/shard={shard}")
+
+
+def write_prefixes(prefixes: DataFrame, path: str, shard: int) -> bool:
+    """The prefix table, written by shard 0 only, as all shards have the same; tells whether it was written."""
+    if shard == 0:
+        prefixes.write.mode("overwrite").parquet(path)
+    return shard == 0

@@ -84,3 +84,96 @@ def test_windowed_stream(spark, tmp_path):
     counted = progress.windowed_counts(progress.read_stream(spark, path, spark.read.parquet(path)), "ts", "kind", "1 hour", "1 hour")
     counted.writeStream.outputMode("append").format("memory").queryName("windows").trigger(availableNow=True).start().awaitTermination()
     assert {(r["kind"], r["n"]) for r in spark.table("windows").collect()} == {("x", 2), ("y", 1)}
+
+
+def test_training_settings():
+    from corpuskit.config import AdapterConfig, BuildConfig, CodecConfig, ConfigError, TrainingConfig
+
+    codec = CodecConfig()
+    TrainingConfig(heads=tuple(codec.heads()), adapter=AdapterConfig()).validate(codec, BuildConfig())
+    wrong = [
+        TrainingConfig(heads=("one",)), TrainingConfig(dtype="int8", bf16=False), TrainingConfig(fp16=True), TrainingConfig(dtype="float16"), TrainingConfig(bf16=False),
+        TrainingConfig(voice_cloning=False), TrainingConfig(adapter=AdapterConfig(rank=0)), TrainingConfig(adapter=AdapterConfig(alpha=0)), TrainingConfig(adapter=AdapterConfig(dropout=1.0)),
+        TrainingConfig(adapter=AdapterConfig(targets=())), TrainingConfig(adapter=AdapterConfig(last_layers=0)),
+    ]
+    for config in wrong:
+        with pytest.raises(ConfigError):
+            config.validate(codec)
+    with pytest.raises(ConfigError):
+        TrainingConfig().validate(codec, BuildConfig(add_speaker=False, policy="remove"))
+
+
+def test_built_tables_and_file_counts(spark, tmp_path):
+    from corpuskit.config import ConfigError
+    from corpuskit.sources.readers import count_files, require_built, require_rows
+
+    table = f"{tmp_path}/table"
+    with pytest.raises(ConfigError):
+        require_built(spark, table)
+    spark.range(3).write.parquet(table)
+    require_built(spark, table, checkpoint="some/name")
+    for more in ({"keep_index": f"{tmp_path}/none"}, {"checkpoint": "./nowhere"}, {"checkpoint": f"{tmp_path}/none"}):
+        with pytest.raises(ConfigError):
+            require_built(spark, table, **more)
+    (tmp_path / "table" / "_SUCCESS").unlink()
+    with pytest.raises(ConfigError):
+        require_built(spark, table)
+    assert count_files(spark, table, ".parquet") >= 1 and count_files(spark, f"{tmp_path}/none") == 0
+    assert require_rows(spark.range(1), True, 21.5, ["a"]).count() == 1
+    for bad in ((spark.range(0),), (spark.range(1), True, None, ["a"]), (spark.range(1), True, 21.5, [])):
+        with pytest.raises(ConfigError):
+            require_rows(*bad)
+
+
+def test_keep_index_tokens_and_prefixes(spark, tmp_path):
+    from corpuskit.config import KeepConfig
+    from corpuskit.operators.keep_index import index_tag
+    from corpuskit.operators.providers import stand_in_policy, stand_in_prefixes
+    from corpuskit.sources.sinks import write_keep_index, write_prefixes, write_tokens
+
+    index = spark.createDataFrame([(3, 0, 5), (1, 1, 4), (1, 0, 4)], "row_id bigint, copy int, orig_len int")
+    path = write_keep_index(index, str(tmp_path), index_tag(KeepConfig()))
+    assert path.endswith("keep_index_short13_t50")
+    assert [(r["row_id"], r["copy"]) for r in spark.read.parquet(path).collect()] == [(1, 0), (1, 1), (3, 0)]
+    groups = spark.createDataFrame([("g1", 50), ("g2", 80)], "group_id string, max_frames int")
+    tokens = stand_in_policy()(groups, 3)
+    for shard in (0, 1, 1):
+        write_tokens(tokens, f"{tmp_path}/tokens", shard)
+    rows = spark.read.parquet(f"{tmp_path}/tokens").collect()
+    assert len(rows) == 12 and all(len(r["tokens"]) == r["n_frames"] <= r["max_frames"] and (r["n_frames"] == r["max_frames"] or not r["truncated"]) for r in rows)
+    prefixes = stand_in_prefixes(spark.createDataFrame([("a",), ("a",), ("__null__",)], "speaker string"))
+    assert not write_prefixes(prefixes, f"{tmp_path}/prefixes", 1) and write_prefixes(prefixes, f"{tmp_path}/prefixes", 0)
+    assert spark.read.parquet(f"{tmp_path}/prefixes").count() == 2
+
+
+def test_wave_files_are_decoded_to_the_codec_rate(spark, tmp_path):
+    import wave
+
+    import numpy as np
+
+    from corpuskit.operators.providers import wave_decoder
+    from corpuskit.sources.readers import audio_references
+
+    for name, rate, channels in (("a", 16_000, 1), ("b", 48_000, 2)):
+        tone = np.sin(np.arange(rate // 2) * 2 * np.pi * 50 / rate) * 20_000
+        with wave.open(f"{tmp_path}/{name}.wav", "wb") as f:
+            f.setnchannels(channels)
+            f.setsampwidth(2)
+            f.setframerate(rate)
+            f.writeframes(np.repeat(tone.astype("<i2"), channels).tobytes())
+    (tmp_path / "c.wav").write_bytes(b"no sound")
+    rows = {r["speaker"]: r["samples"] for r in wave_decoder(8_000)(audio_references(spark, str(tmp_path)), "samples").collect()}
+    assert rows["c"] is None
+    for name in "ab":
+        assert len(rows[name]) == 4_000
+        assert np.abs(np.array(rows[name]) - np.sin(np.arange(4_000) * 2 * np.pi * 50 / 8_000) * 20_000 / 32768).max() < 0.01
+
+
+def test_scores_are_assembled_by_key(spark):
+    from corpuskit.operators.scoring import assemble
+
+    lines = spark.createDataFrame([("g", 1, 5), ("g", 0, 6), ("h", 0, 7), (None, 0, 1)], "group_id string, sample_idx int, n_frames int")
+    said = spark.createDataFrame([("h", 0, "x"), ("g", 1, "y"), ("z", 0, "w")], "group_id string, sample_idx int, transcript string")
+    alike = spark.createDataFrame([("g", 0, 0.5)], "group_id string, sample_idx int, sim double")
+    got = {(r["group_id"], r["sample_idx"]): (r["n_frames"], r["transcript"], r["sim"]) for r in assemble(lines, said, alike).collect()}
+    assert got == {("g", 1): (5, "y", None), ("g", 0): (6, None, 0.5), ("h", 0): (7, "x", None)}
