@@ -13,8 +13,8 @@ from corpuskit.config import BuildConfig, ConfigError, SourceConfig
 from corpuskit.functions import codec as codec_functions
 from corpuskit.functions import sequence, text
 from corpuskit.functions.hashing import hash_key
-from corpuskit.operators.ranking import global_position
-from corpuskit.operators.speakers import SENTINEL, null_rare, remove_rare
+from corpuskit.operators.ranking import global_position, ordered_rank
+from corpuskit.operators.speakers import SENTINEL, null_rare, remove_rare, with_rarity
 from corpuskit.operators.providers import Tokenizer, stand_in_tokenizer
 
 
@@ -96,6 +96,37 @@ def build_corpus(parts: Sequence[tuple[SourceConfig, DataFrame]], cfg: BuildConf
     return reduce(DataFrame.unionByName, [build_source(df, s, prefixes[s.name], cfg, tokenizer) for s, df in parts])
 
 
+def build_tagged(df: DataFrame, sources: Sequence[SourceConfig], cfg: BuildConfig, tokenizer: Tokenizer = stand_in_tokenizer, number: str | None = None) -> DataFrame:
+    """The same table from rows that carry their ``source``, in one pass whatever the number of sources.
+
+    The speaker policy counts a speaker inside its source. Rows of other sources are out.
+    With ``number`` the rows get their 0-based position in the order of source and row id,
+    before the sequences make them long.
+    """
+    cfg.validate(sources)
+    prefixes = speaker_prefixes(sources)
+    known = [(s.name, prefixes[s.name], s.language_tag, s.speaker_column is not None, s.max_rows) for s in sources]
+    facts = df.sparkSession.createDataFrame(known, "source string, _prefix string, _tag string, _has boolean, _cap int")  # a row for each source
+    rows = usable(df, cfg).join(F.broadcast(facts), "source")
+    if cfg.add_speaker:
+        rows = rows.withColumn("_own", F.when(F.col("_has"), F.col("speaker_id")).otherwise(F.lit(SENTINEL)))
+        rows = with_rarity(rows.withColumn("_key", F.concat_ws("|", "source", F.coalesce(F.concat(F.lit("="), "_own"), F.lit("null")))), cfg.min_clips, "_key")
+        named = F.concat("_prefix", F.lit("_"), F.coalesce("_own", F.lit("None")))
+        if cfg.policy == "remove":
+            rows = rows.where(~F.col("is_rare")).withColumn("speaker_id", named)
+        else:
+            lost = F.col("is_rare") | F.coalesce(F.col("_own") == SENTINEL, F.lit(False))
+            rows = rows.withColumn("speaker_id", F.when(lost, F.lit(SENTINEL)).otherwise(named))
+        rows = rows.drop("_own", "_key", "is_rare")
+    if any(s.max_rows is not None for s in sources):
+        ranked = ordered_rank(rows, "source", [hash_key(cfg.cap_seed, "row_id"), "row_id"], "_at")
+        rows = ranked.where(F.col("_cap").isNull() | (F.col("_at") < F.col("_cap"))).drop("_at")
+    rows = rows.withColumn("text", text.language_tagged(F.col("text"), F.col("_tag"))).drop("_prefix", "_tag", "_has", "_cap")
+    if number is not None:
+        rows = with_row_ids(rows, ["source", "row_id"], number)
+    return sequences(tokenizer(rows, "text", "_tokens"), cfg, F.col("_tokens"), F.col("row_id")).drop("_tokens")
+
+
 def with_row_ids(df: DataFrame, order: Sequence[str], out: str = "row_id") -> DataFrame:
     """0-based positions over the concatenated table, sources in the order of ``order``."""
     return global_position(df, [F.col(c) for c in order], out)

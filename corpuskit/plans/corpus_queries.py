@@ -189,12 +189,12 @@ def _mean_sql(layer: int, base: int, level: int) -> str:
     return f"floor(list_sum(list_transform({_unfold_sql(layer, base, level)}, lambda x: (x - {s}::DOUBLE) / {s}::DOUBLE)) * 1e6 + 0.5) / 1e6"
 
 
-@registry.query("SELECT row_id, " + ", ".join(f"{_mean_sql(1, b, n)} AS sum_{i}" for i, (b, n) in enumerate(zip(cf.bases(CODEC.levels), CODEC.levels))) + " FROM clip_codes")
+@registry.query("SELECT row_id, " + ", ".join(f"{_mean_sql(*c)} AS sum_{i}" for i, c in enumerate(_ALL_CHANNELS)) + " FROM clip_codes")
 def q_dequantise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summed values of the first layer's channels in [-1, 1]."""
-    digits = cf.unfold(F.col("nano_layer_1"), CODEC.levels)
+    """Summed values of all channels in [-1, 1]."""
+    digits = [(d, n) for i in range(1, 9) for d, n in zip(cf.unfold(F.col(f"nano_layer_{i}"), CODEC.levels), CODEC.levels)]
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    return table(spark, sf_dir, "clip_codes").select("row_id", *[round_half_up(total(cf.dequantise(d, n)), 6).alias(f"sum_{i}") for i, (d, n) in enumerate(zip(digits, CODEC.levels))])
+    return table(spark, sf_dir, "clip_codes").select("row_id", *[round_half_up(total(cf.dequantise(d, n)), 6).alias(f"sum_{i}") for i, (d, n) in enumerate(digits)])
 
 
 # ---- text layout
@@ -254,11 +254,21 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.sequences(providers.stand_in_tokenizer(usable, "text", "_tokens"), BUILD, F.col("_tokens"), F.col("row_id")).drop("_tokens")
 
 
-@registry.query(f"{_PREPARED_SQL} SELECT row_id, {text_sql('text_ids')} AS text_ids, {text_sql('codes')} AS level_audio_0, {text_sql('list_transform(range(nt), lambda i: -100) || codes || [-100]')} AS labels_level_audio_0 FROM p")
+def codes_sql(channel: int) -> str:
+    """SQL of a channel of ``_PREPARED_SQL``, its last code twice."""
+    own = _unfold_sql(*_ALL_CHANNELS[channel])
+    return f"({own} || [({own})[-1]])"
+
+
+@registry.query(
+    f"{_PREPARED_SQL} SELECT row_id, {text_sql('text_ids')} AS text_ids, "
+    + ", ".join(f"{text_sql(codes_sql(i))} AS level_audio_{i}, {text_sql(f'list_transform(range(nt), lambda i: -100) || {codes_sql(i)} || [-100]')} AS labels_level_audio_{i}" for i in range(CODEC.channels))
+    + " FROM p"
+)
 def q_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text, first channel and its labels."""
+    """Text, all channels and their labels."""
     rows = prepared(spark, sf_dir)
-    return rows.select("row_id", *[sf.text_of(F.col(c)).alias(c) for c in ("text_ids", "level_audio_0", "labels_level_audio_0")])
+    return rows.select("row_id", *[sf.text_of(F.col(c)).alias(c) for c in ("text_ids", *CODEC.heads(), *[f"labels_{c}" for c in CODEC.heads()])])
 
 
 @registry.query(f"{_PREPARED_SQL} SELECT row_id, {text_sql('list_transform(range(nt), lambda i: -100) || list_transform(range(m), lambda i: 0) || [1]')} AS labels_stop, nt + m + 1 AS n_mask FROM p")
@@ -346,12 +356,9 @@ def q_hash01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query()
 def q_build_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole build over all sources with codes; it carries all 32 channels."""
+    """The whole build over all sources with codes, in one pass; it carries all 32 channels."""
     codes = table(spark, sf_dir, "clip_codes").drop("encoded_len")
     rows = codes.join(clips_of(spark, sf_dir).where("text IS NOT NULL"), "row_id")
     facts = table(spark, sf_dir, "hf_datasets").collect()
-    parts = [
-        (SourceConfig(r["reponame"], r["speaker_id_col_name"], r["speaker_prefix"], r["language_tag"]), rows.where(F.col("source") == r["reponame"]).drop("source", "recording_id"))
-        for r in sorted(facts, key=lambda r: r["reponame"])
-    ]
-    return build.build_corpus(parts, BUILD)
+    sources = [SourceConfig(r["reponame"], r["speaker_id_col_name"], r["speaker_prefix"], r["language_tag"]) for r in sorted(facts, key=lambda r: r["reponame"])]
+    return build.build_tagged(rows.drop("recording_id"), sources, BUILD, number="corpus_row")

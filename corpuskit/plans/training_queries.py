@@ -12,7 +12,7 @@ from corpuskit.functions import numeric, sequence, text
 from corpuskit.functions.hashing import hash_int
 from corpuskit.functions.numeric import round_half_up
 from corpuskit.operators import losses, pairs, rollouts, sampling, scoring, seeds
-from corpuskit.plans.corpus_queries import _PREPARED_SQL, CODEC, TOKENS, USABLE_SQL, hash_int_sql, hash_sql, prepared, text_sql, usable_clips, words_sql
+from corpuskit.plans.corpus_queries import _PREPARED_SQL, CODEC, TOKENS, USABLE_SQL, codes_sql, hash_int_sql, hash_sql, prepared, text_sql, usable_clips, words_sql
 from corpuskit.plans.registry import Registry, known_speaker_sql, table
 from corpuskit.streaming import progress
 
@@ -121,14 +121,16 @@ def q_pk_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query(f"""{_PREPARED_SQL}, b AS (SELECT *, (row_number() OVER (ORDER BY {hash_sql('42', 'row_id')}, row_id) - 1) // 16 AS batch_id FROM p),
 w AS (SELECT *, max(nt) OVER (PARTITION BY batch_id) AS mt, max(m) OVER (PARTITION BY batch_id) AS ma FROM b)
-SELECT batch_id, row_id, {text_sql('list_transform(range(mt - nt), lambda i: 248076) || text_ids')} AS text_ids, {text_sql('codes || list_transform(range(ma - m), lambda i: 0)')} AS level_audio_0,
-{text_sql('list_transform(range(mt), lambda i: -100) || codes || [-100] || list_transform(range(ma - m - 1), lambda i: -100)')} AS labels_level_audio_0,
+SELECT batch_id, row_id, {text_sql('list_transform(range(mt - nt), lambda i: 248076) || text_ids')} AS text_ids,
+{", ".join(f"{text_sql(f'{codes_sql(i)} || list_transform(range(ma - m), lambda i: 0)')} AS level_audio_{i}, {text_sql(f'list_transform(range(mt), lambda i: -100) || {codes_sql(i)} || [-100] || list_transform(range(ma - m - 1), lambda i: -100)')} AS labels_level_audio_{i}" for i in range(CODEC.channels))},
 {text_sql('list_transform(range(mt - nt), lambda i: 0) || list_transform(range(nt + m), lambda i: 1) || list_transform(range(ma - m), lambda i: 0)')} AS attention_mask FROM w""")
 def q_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences padded to their batch; the end label of the longest row is beyond the frame, as in training."""
-    batched = sampling.plain_batches(prepared(spark, sf_dir).select("row_id", "text_ids", "level_audio_0", "labels_level_audio_0", "labels_stop", "attention_mask"), 16, 42)
-    padded = sampling.collate(batched, ["level_audio_0"], TOKENS.pad)
-    return padded.select("batch_id", "row_id", *[sequence.text_of(F.col(c)).alias(c) for c in ("text_ids", "level_audio_0", "labels_level_audio_0", "attention_mask")])
+    channels = list(CODEC.heads())
+    labels = [f"labels_{c}" for c in channels]
+    batched = sampling.plain_batches(prepared(spark, sf_dir).select("row_id", "text_ids", *channels, *labels, "labels_stop", "attention_mask"), 16, 42)
+    padded = sampling.collate(batched, channels, TOKENS.pad)
+    return padded.select("batch_id", "row_id", *[sequence.text_of(F.col(c)).alias(c) for c in ("text_ids", *channels, *labels, "attention_mask")])
 
 
 # ---- rollouts

@@ -1,3 +1,4 @@
+from functools import reduce
 from collections import Counter
 
 import numpy as np
@@ -135,6 +136,19 @@ def test_build_corpus(spark):
         build.canonical(corpus(spark, 1, "'x'"), {"missing": "text"})
 
 
+@pytest.mark.parametrize("policy", ["null_prefix", "remove"])
+def test_one_pass_build_gives_the_same_table(spark, policy):
+    cfg = BuildConfig(layout=LayoutConfig(mixed_keep=0.0), policy=policy)
+    one, two = SourceConfig("one", language_tag="EN"), SourceConfig("two", speaker_column="speaker_id" if policy == "remove" else None, max_rows=2)
+    parts = [(one, corpus(spark, 9, "CASE WHEN id < 7 THEN concat('s', id % 2) WHEN id = 7 THEN 'rare' END")), (two, corpus(spark, 5, "'x'"))]
+    tagged = reduce(lambda a, b: a.unionByName(b), [df.withColumn("source", F.lit(s.name)) for s, df in [*parts, (SourceConfig("other"), corpus(spark, 3, "'y'"))]])
+    want = build.build_corpus(parts, cfg)
+    got = build.build_tagged(tagged, [one, two], cfg, number="corpus_row")
+    rows = {(r["source"], r["row_id"]): r.asDict() for r in got.collect()}
+    assert sorted(r.pop("corpus_row") for r in rows.values()) == list(range(len(rows)))
+    assert rows == {(r["source"], r["row_id"]): r.asDict() for r in want.collect()}
+
+
 def test_file_tokenizer(spark):
     add = providers.file_tokenizer("/opt/tokenizers/byte_bpe_50k.json")
     got = add(spark.createDataFrame([(1, "Hello world"), (2, None), (3, "<|endoftext|>")], "i int, text string"), "text", "ids").orderBy("i").collect()
