@@ -219,6 +219,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).where(F.col("longest_run") >= 10).select("doc_id", "item_id")
 
 
+@registry.query(f"WITH i AS (SELECT item_id, coalesce(len({_LEAK_WORDS}), 0) AS n FROM eval_items) SELECT item_id, CAST(n AS INT) AS n_words, n >= 10 AS searched FROM i")
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every held-out text, and whether it has enough of them to be searched for."""
+    held = leakage.held_out_words(table(spark, sf_dir, "eval_items"), "item_id", "text")
+    return held.select(F.col("k").alias("item_id"), "n_words", (F.size("seeds") > 0).alias("searched"))
+
+
 # ---- 8: mixing sources to target weights
 
 def mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
