@@ -87,7 +87,7 @@ z AS (SELECT row_id, row_number() OVER (ORDER BY {hash_sql('42:filler', 'row_id'
 g AS (SELECT unnest(range((SELECT max(nb) FROM sp) * 4)) AS id)
 SELECT pos // 4 AS batch_id, pos % 4 * 3 + k AS slot, row_id, false AS is_filler FROM k JOIN sp USING (speaker_int) WHERE pos < nb * 4
 UNION ALL SELECT id // 4, 12 + id % 4, row_id, true FROM g JOIN z ON z.pos = id % n""")
-def q_pk_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_pk_visit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of 4 speakers with 3 clips each and 4 clips without a speaker: one visit to every speaker."""
     return sampling.speaker_batches(_index(spark, sf_dir), BATCH)
 
@@ -101,24 +101,34 @@ def _draws_sql(n: str, k: int, seed: str, *parts: str) -> str:
     return ", ".join(out)
 
 
-@registry.query(f"""{_INDEX_SQL}, e AS (SELECT speaker_int, n_clips, row_id, row_number() OVER (PARTITION BY speaker_int ORDER BY row_id) - 1 AS rank FROM i WHERE n_clips >= 3),
+def _epoch_sql(seed: int, world: int) -> str:
+    return f"""{_INDEX_SQL}, e AS (SELECT speaker_int, n_clips, row_id, row_number() OVER (PARTITION BY speaker_int ORDER BY row_id) - 1 AS rank FROM i WHERE n_clips >= 3),
 sp AS (SELECT speaker_int, n_clips, row_number() OVER (ORDER BY speaker_int) - 1 AS pos FROM (SELECT DISTINCT speaker_int, n_clips FROM e)),
-n AS (SELECT (SELECT count(*) FROM sp) AS ns, (SELECT greatest(1, sum(n_clips)::BIGINT // 12) FROM sp) AS nb, (SELECT count(*) FROM i WHERE speaker_int < 0) AS nz),
+n AS (SELECT (SELECT count(*) FROM sp) AS ns, (SELECT greatest(1, sum(n_clips)::BIGINT // {12 * world}) FROM sp) AS nb, (SELECT count(*) FROM i WHERE speaker_int < 0) AS nz),
 b AS (SELECT unnest(range(nb)) AS batch_id, ns, nz FROM n),
-sd AS (SELECT batch_id, {_draws_sql('ns', 4, '42:speaker', 'batch_id')} FROM b),
+sd AS (SELECT batch_id, {_draws_sql('ns', 4, f'{seed}:speaker', 'batch_id')} FROM b),
 p AS (SELECT batch_id, unnest(range(4)) AS p, unnest([d0, d1, d2, d3]) AS pos FROM sd),
-q AS (SELECT batch_id, p, speaker_int, {_draws_sql('n_clips', 3, '42:clip', 'batch_id', 'p')} FROM p JOIN sp USING (pos)),
+q AS (SELECT batch_id, p, speaker_int, {_draws_sql('n_clips', 3, f'{seed}:clip', 'batch_id', 'p')} FROM p JOIN sp USING (pos)),
 c AS (SELECT batch_id, p, speaker_int, unnest(range(3)) AS k, unnest([d0, d1, d2]) AS rank FROM q),
 z AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS pos FROM i WHERE speaker_int < 0),
-f AS (SELECT batch_id, {_draws_sql('nz', 4, '42:filler', 'batch_id')} FROM b),
+f AS (SELECT batch_id, {_draws_sql('nz', 4, f'{seed}:filler', 'batch_id')} FROM b),
 g AS (SELECT batch_id, unnest(range(4)) AS m, unnest([d0, d1, d2, d3]) AS pos FROM f)
 SELECT batch_id, p * 3 + k AS slot, row_id, false AS is_filler FROM c JOIN e USING (speaker_int, rank)
-UNION ALL SELECT batch_id, 12 + m, row_id, true FROM g JOIN z USING (pos)""")
-def q_pk_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole epoch of such batches: as many as q_batch_count says, speakers and clips drawn anew for each."""
+UNION ALL SELECT batch_id, 12 + m, row_id, true FROM g JOIN z USING (pos)"""
+
+
+@registry.query(_epoch_sql(42, 1))
+def q_pk_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole epoch of batches of four speakers with three clips each and four fillers: as many as q_batch_count says."""
     return sampling.epoch_batches(_index(spark, sf_dir), BATCH)
 
 
+@registry.query(_epoch_sql(42 + 1009 + 7, 2))
+def q_pk_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second epoch of the second of two ranks."""
+    return sampling.epoch_batches(_index(spark, sf_dir), BATCH, epoch=1, rank=1, world=2)
+
+
 @registry.query(f"""{_PREPARED_SQL}, b AS (SELECT *, (row_number() OVER (ORDER BY {hash_sql('42', 'row_id')}, row_id) - 1) // 16 AS batch_id FROM p),
 w AS (SELECT *, max(nt) OVER (PARTITION BY batch_id) AS mt, max(m) OVER (PARTITION BY batch_id) AS ma FROM b)
 SELECT batch_id, row_id, {text_sql('list_transform(range(mt - nt), lambda i: 248076) || text_ids')} AS text_ids,

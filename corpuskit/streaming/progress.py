@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpuskit.operators.rollouts import shard_progress
+from corpuskit.session import ensure_checkpoint_dir
 
 
 def watch_shards(lines: DataFrame, samples: int, name: str, once: bool = True, interval: str = "30 seconds", checkpoint: str | None = None) -> StreamingQuery:
     """Running line counts per shard of a stream of manifest lines, as the in-memory table ``name``.
 
     The state is one row per shard. ``once`` reads what is there and ends; otherwise the
-    stream goes on every ``interval``.
+    stream goes on every ``interval``. Its state lies in ``checkpoint``, by default a folder of
+    its name in the shared checkpoint folder.
     """
     writer = shard_progress(lines, samples).writeStream.outputMode("complete").format("memory").queryName(name)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
+    writer = writer.option("checkpointLocation", checkpoint or f"{ensure_checkpoint_dir(lines.sparkSession)}/streams/{name}")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 
