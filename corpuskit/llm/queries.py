@@ -268,12 +268,13 @@ SELECT source, short AS is_short, CASE WHEN short THEN docs * max_repeats END AS
 def p8_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What must hold of the mixture: short sources are used up, copies stay within ``max_repeats``, the others share the rest alike."""
     mix, report = mixture(spark, sf_dir)
-    drawn = mix.groupBy("source").agg(F.count("*").alias("n_rows"), (F.max("copy") + 1).alias("copies"), F.max("size").alias("longest"), F.max("finish").alias("end"))
-    rows = report.join(F.broadcast(drawn), "source", "left")
+    drawn = mix.groupBy("source").agg(F.count("*").alias("n_rows"), (F.max("copy") + 1).alias("copies"), F.max("finish").alias("end"))
+    longest = table(spark, sf_dir, "documents").groupBy("source").agg(F.max(F.octet_length("text")).alias("longest"))  # a text has no more tokens than bytes
+    rows = report.join(F.broadcast(drawn), "source", "left").join(F.broadcast(longest), "source", "left")
     everything = Window.partitionBy(F.lit(0))  # over the report's few rows
     # a queue that isn't dry ends within one document of the virtual time of the cut
     cut = F.max("end").over(everything)
-    fits = F.coalesce(F.col("is_short") | (F.col("end") + F.col("longest") / F.col("target_share") * 2 >= cut), F.lit(True))
+    fits = F.coalesce(F.col("is_short") | (F.col("end") + F.col("longest") / F.col("target_share") >= cut), F.lit(True))
     return rows.select("source", "is_short", F.when(F.col("is_short"), F.coalesce("n_rows", F.lit(0))).alias("rows_if_short"), F.coalesce(F.col("copies") <= F.col("max_repeats"), F.lit(True)).alias("copies_fit"), fits.alias("share_fits"))
 
 
