@@ -11,7 +11,7 @@ from corpuskit.operators.skew import heavy_hitters, skew_join
 from corpuskit.session import materialize
 
 
-def hash_running_sum(df: DataFrame, keys: Sequence[str], identity: Sequence[str], value: Column | str, seed: int = 0, buckets: int = 256, out: str = "running") -> DataFrame:
+def hash_running_sum(df: DataFrame, keys: Sequence[str], identity: Sequence[str], value: Column | str, seed: int = 0, buckets: int = 2048, out: str = "running") -> DataFrame:
     """Sum of ``value`` over the rows of a group up to and with each row, in the order of a hash of ``identity``.
 
     Each group is cut into ``buckets`` parts by the hash; a row's sum is that inside its
@@ -35,7 +35,7 @@ def hash_running_sum(df: DataFrame, keys: Sequence[str], identity: Sequence[str]
     return summed.join(offsets, [*names, "_b"]).withColumn(out, F.col("_r") + F.col("_o")).select(*df.columns, out)
 
 
-def hash_rank(df: DataFrame, keys: Sequence[str], identity: Sequence[str], seed: int = 0, buckets: int = 256, out: str = "rank") -> DataFrame:
+def hash_rank(df: DataFrame, keys: Sequence[str], identity: Sequence[str], seed: int = 0, buckets: int = 2048, out: str = "rank") -> DataFrame:
     """0-based rank of each row inside its group, in the order of a hash of ``identity``; see :func:`hash_running_sum`."""
     return hash_running_sum(df, keys, identity, F.lit(1).cast("bigint"), seed, buckets, out).withColumn(out, (F.col(out) - 1).cast("bigint"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.operators.skew import heavy_hitters, skew_join
+from corpuskit.operators.skew import heavy_share, skew_join
+from corpuskit.session import materialize
 
 #: Stands for "no speaker" in prepared tables.
 SENTINEL = "__null_ref__"
@@ -31,8 +32,11 @@ def with_rarity(df: DataFrame, min_clips: int, speaker: str = "speaker_id") -> D
     speakers bypass the shuffle.
     """
     keyed = df.withColumn("_k", _key(F.col(speaker)))
-    rare = keyed.groupBy("_k").count().where(F.col("count") < min_clips).select("_k", F.lit(True).alias("_rare"))
-    heavy, _ = heavy_hitters(keyed, "_k")
+    counts = materialize(keyed.groupBy("_k").count())
+    rare = counts.where(F.col("count") < min_clips).select("_k", F.lit(True).alias("_rare"))
+    # the counts are known exactly, so no sketch is needed; at most 1 / share keys
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    heavy = [r["_k"] for r in counts.where(F.col("count") > heavy_share(df.sparkSession) * total).collect()]
     return skew_join(keyed, rare, "_k", heavy, "left").withColumn("is_rare", F.coalesce("_rare", F.lit(False))).select(*df.columns, "is_rare")
 
 
