@@ -87,16 +87,24 @@ def pair_batches(pairs: DataFrame, size: int, seed: int, epoch: int = 0) -> Data
     return placed.select(*identity, F.floor(F.col("_at") / size).alias("batch_id"), (F.col("_at") % size).cast("int").alias("slot"))
 
 
+def wanted_samples(pairs: DataFrame) -> DataFrame:
+    """``group_id, sample_idx``: the samples that are a side of a pair, each once."""
+    return pairs.select("group_id", F.explode(F.array("chosen_idx", "rejected_idx")).alias("sample_idx")).distinct()
+
+
 def training_pairs(pairs: DataFrame, tokens: DataFrame, prefixes: DataFrame) -> DataFrame:
     """One row per pair with the tokens of both sides and the speaker's prefix; pairs that lack any of them are out.
 
     Sides are looked up as two rows per pair and brought together again by pair.
-    ``tokens`` has one row per (group, sample), ``prefixes`` one per speaker.
+    ``tokens`` has one row per (group, sample), ``prefixes`` one per speaker. Tokens are the
+    wide part: they come after the prefixes, and are never broadcast, as an array counts as
+    one value where Spark estimates the size of a table.
     """
     identity = ["group_id", "chosen_idx", "rejected_idx"]
     side = lambda name: F.struct(F.lit(name).alias("side"), F.col(f"{name}_idx").alias("sample_idx"))
-    sides = pairs.select(*identity, "speaker", F.explode(F.array(side("chosen"), side("rejected"))).alias("s")).select(*identity, "speaker", "s.*")
-    found = attach_samples(sides, tokens.select("group_id", "sample_idx", "tokens"), prefixes.select("speaker", "prefix"))
+    told = skew_join(pairs.select(*identity, "speaker"), prefixes.select("speaker", "prefix"), "speaker", heavy_hitters(pairs, "speaker")[0])
+    sides = told.select(*identity, "prefix", F.explode(F.array(side("chosen"), side("rejected"))).alias("s")).select(*identity, "prefix", "s.*")
+    found = attach_samples(sides, tokens.select("group_id", "sample_idx", "tokens").hint("merge"))
     both = [F.max(F.when(F.col("side") == name, F.col("tokens"))).alias(f"{name}_tokens") for name in ("chosen", "rejected")]
     whole = found.groupBy(*identity).agg(F.first("prefix").alias("prefix"), *both)
     return whole.where(F.col("chosen_tokens").isNotNull() & F.col("rejected_tokens").isNotNull())

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions.hashing import hash01, hash_int
 from corpuskit.functions.text import stand_in_ids, words
+from corpuskit.session import shuffle_width
 
 #: (table, text column, new column) -> table with an ``array<int>`` column.
 Tokenizer = Callable[[DataFrame, str, str], DataFrame]
@@ -72,23 +73,31 @@ def stand_in_embedder(speaker: str, size: int = 16, null_speaker: str = "__null_
     return add
 
 
-#: (groups with ``group_id, max_frames``, samples per group, new columns) -> one row per sample.
-Policy = Callable[[DataFrame, int], DataFrame]
+#: (groups with ``group_id, max_frames``, samples per group, the only samples wanted or None) -> one row per sample.
+Policy = Callable[..., DataFrame]
 
 
 def stand_in_policy(codes: int = 1024, seed: int = 0, spread: int = 400) -> Policy:
     """Samples ``tokens, n_frames, truncated`` of each group from hashes of group, sample and frame.
 
     A sample stops after a number of frames that is uniform in [1, ``spread``], or at the
-    group's ``max_frames``, where it is truncated.
+    group's ``max_frames``, where it is truncated. Given ``wanted`` (``group_id, sample_idx``),
+    no other samples are drawn; the rows then lie by these two columns.
     """
 
-    def add(groups: DataFrame, samples: int) -> DataFrame:
+    def add(groups: DataFrame, samples: int, wanted: DataFrame | None = None) -> DataFrame:
         rows = groups.withColumn("sample_idx", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+        if wanted is not None:
+            key = ["group_id", "sample_idx"]
+            # a fixed number of partitions: by their size before drawing they would be merged into one task
+            rows = rows.repartition(shuffle_width(rows.sparkSession), *key).join(wanted.select(*key).hint("merge"), key, "left_semi")
         stop = F.lit(1) + F.pmod(hash_int(f"{seed}:stop", "group_id", "sample_idx"), F.lit(spread))
         rows = rows.withColumn("truncated", stop > F.col("max_frames")).withColumn("n_frames", F.least(stop, F.col("max_frames")).cast("int"))
         first, step = hash_int(f"{seed}:first", "group_id", "sample_idx"), hash_int(f"{seed}:step", "group_id", "sample_idx")
-        return rows.withColumn("tokens", F.transform(F.sequence(F.lit(0), F.col("n_frames") - 1), lambda i: F.pmod(first + i * step, F.lit(codes)).cast("int")))
+        frames = F.sequence(F.lit(0), F.col("n_frames") - 1)
+        # bound by an outer transform, the two are hashed once for a sample instead of once for a frame
+        drawn = F.transform(F.array(F.struct(first.alias("first"), step.alias("step"))), lambda d: F.transform(frames, lambda i: F.pmod(d["first"] + i * d["step"], F.lit(codes)).cast("int")))
+        return rows.withColumn("tokens", drawn[0])
 
     return add
 

@@ -44,9 +44,9 @@ def _tokens_sql(groups: str) -> str:
     return f"SELECT *, {n} AS n, 1 + {stop} % 400 > max_frames AS cut, list_transform(range({n}), lambda i: ({first} + i * {step}) % {_CODES}) AS tokens FROM ({groups})"
 
 
-def _sample_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sample_tokens(spark: SparkSession, sf_dir: str, wanted: DataFrame | None = None) -> DataFrame:
     groups = table(spark, sf_dir, "rollout_scores").where("group_id IS NOT NULL").select("group_id").distinct().withColumn("max_frames", F.lit(300))
-    return providers.stand_in_policy(_CODES)(groups, 8)
+    return providers.stand_in_policy(_CODES)(groups, 8, wanted)
 
 
 _SAMPLES_SQL = _tokens_sql("SELECT group_id, unnest(range(8)) AS sample_idx, 300 AS max_frames FROM (SELECT DISTINCT group_id FROM rollout_scores WHERE group_id IS NOT NULL)")
@@ -74,7 +74,7 @@ def q_pair_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs with the tokens of both sides and the prefix of their speaker."""
     mined = table(spark, sf_dir, "pref_pairs").groupBy("group_id", "chosen_idx", "rejected_idx").agg(F.max("speaker").alias("speaker"))
     prefixes = providers.stand_in_prefixes(table(spark, sf_dir, "rollout_scores").where("speaker IS NOT NULL").select("speaker"))
-    found = pairs.training_pairs(mined, _sample_tokens(spark, sf_dir), prefixes)
+    found = pairs.training_pairs(mined, _sample_tokens(spark, sf_dir, pairs.wanted_samples(mined)), prefixes)
     return found.select("group_id", "chosen_idx", "rejected_idx", F.col("prefix")[0].alias("prefix_0"), *[sequence.text_of(F.col(c)).alias(c) for c in ("chosen_tokens", "rejected_tokens")])
 
 

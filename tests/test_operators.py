@@ -367,3 +367,19 @@ def test_seeds(spark):
     both = seeds.continue_seeds(old, new, 1, "v2").collect()
     assert sorted(r["id"] for r in both) == [1, 7, 9, 10, 11, 12, 13, 14] and len({r["uuid"] for r in both}) == 8
     assert all(len(r["uuid"]) == 36 for r in both if r["source"] == "v2")
+
+
+def test_training_pairs_draw_wanted_samples_and_never_broadcast_tokens(spark):
+    mined = spark.createDataFrame([("g1", 0, 2, "a"), ("g1", 1, 2, "a"), ("g2", 1, 7, "a"), ("g3", 0, 1, None), ("g4", 0, 1, "a")], "group_id string, chosen_idx int, rejected_idx int, speaker string")
+    groups = spark.createDataFrame([("g1", 50), ("g2", 80), ("g3", 90), ("g5", 20)], "group_id string, max_frames int")
+    prefixes = providers.stand_in_prefixes(mined.select("speaker").where("speaker IS NOT NULL"))
+    draw = providers.stand_in_policy()
+    wanted = pairs.wanted_samples(mined)
+    drawn = draw(groups, 3, wanted)
+    assert {(r["group_id"], r["sample_idx"]) for r in drawn.collect()} == {("g1", 0), ("g1", 1), ("g1", 2), ("g2", 1), ("g3", 0), ("g3", 1)}
+    whole = {(r["group_id"], r["sample_idx"]): r["tokens"] for r in draw(groups, 3).collect()}
+    found = pairs.training_pairs(mined, drawn, prefixes)
+    assert {(r["group_id"], r["chosen_idx"], r["rejected_idx"]): (r["chosen_tokens"], r["rejected_tokens"]) for r in found.collect()} == {("g1", i, 2): (whole["g1", i], whole["g1", 2]) for i in (0, 1)}
+    for tokens in (drawn, draw(groups, 3)):
+        plan = pairs.training_pairs(mined, tokens, prefixes)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [group_id" in plan and "BroadcastHashJoin [group_id" not in plan
