@@ -18,6 +18,7 @@ from corpuskit.operators.skew import sized_join
 from corpuskit.session import discard, materialize
 
 _BLOCK = 4096  # entries of the sorted neighbourhood in one window
+_PART = 512  # nodes of a term, about, that one task compares with as many others at a time
 
 
 class _TermHashes(dict):
@@ -142,19 +143,53 @@ def document_passages(docs: DataFrame, weights: DataFrame, broadcast_bytes: int)
 
 # ---- the graph
 
-def similarity_graph(nodes: DataFrame, weights: DataFrame, neighbours: int, min_similarity: float) -> DataFrame:
-    """``a, b, w`` in both directions: verified edges between nodes (``node, terms``), those of one ``b`` together.
-
-    Candidates come from a sorted neighbourhood: each node has one entry for each of its
-    terms, all entries are range-sorted by (term, the node's other terms from the heaviest
-    to the lightest), and an entry meets the next ``neighbours`` ones of its term, so the
-    nodes that share most with a node are the ones it meets. The number of entries and edges is linear in the number of terms of all
-    nodes, whatever the size of a term's list, and no pair is formed twice for a term. An
-    edge is kept if the weighted Jaccard similarity of the two sets, computed exactly, is at
-    least ``min_similarity``, which is its weight.
+def _alike(terms: list[np.ndarray], weights: list[np.ndarray], term: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted Jaccard similarity of ``left`` and ``right`` sets (numbers), which all hold ``term``, and whether it is the least term of both."""
+    n = np.fromiter(map(len, terms), np.int64, len(terms))
+    flat, w = np.concatenate(terms), np.concatenate(weights).astype(np.float64)
+    owner = np.repeat(np.arange(len(terms)), n)
+    total = np.bincount(owner, weights=w, minlength=len(terms))
+    # a term of one set only is common to no pair
+    known, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+    keep, known, column = (times > 1)[at], known[times > 1], np.cumsum(times > 1) - 1
+    has, x = np.zeros((len(terms), len(known))), np.zeros((len(terms), len(known)))
+    has[owner[keep], column[at[keep]]] = 1
+    x[owner[keep], column[at[keep]]] = w[keep]
+    both = x[left] @ has[right].T
+    before = has[:, known < term]
+    return both / (total[left][:, None] + total[right] - both), before[left] @ before[right].T == 0
+
+
+def _all_partners(sets: DataFrame, min_similarity: float) -> DataFrame:
+    """``a, b, w`` with ``a < b``: every pair of ``node, terms, weights`` of at least this similarity, once.
+
+    The nodes of a term are cut by hash into parts of about ``_PART``, and each two parts meet
+    in a group of their own, so that no term is too long for a task. A pair is scored with
+    its whole sets and kept at the least of its common terms. The work grows with the pairs
+    that have a common term.
     """
-    own = sized_join(nodes.select("node", F.explode("terms").alias("term")), weights, "term").groupBy("node").agg(F.sort_array(F.collect_list(F.struct((-F.round("weight", 1)).alias("r"), "term", "weight"))).alias("t"))
-    sets = own.select("node", F.col("t.term").alias("terms"), F.map_from_arrays("t.term", "t.weight").alias("m"))
+    entries = sets.withColumn("term", F.explode("terms"))
+    parts = materialize(entries.groupBy("term").agg(F.count("*").alias("n")).where("n > 1").select("term", F.ceil(F.col("n") / _PART).cast("int").alias("parts")))
+    placed = sized_join(entries, parts, "term").withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    met = placed.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("term", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "node", "terms", "weights")
+
+    def compare(key: tuple, group: pa.Table) -> pa.Table:
+        term, i, j = (k.as_py() for k in key)
+        node, p = group["node"].to_numpy(), group["p"].to_numpy()
+        left, right = np.flatnonzero(p == i), np.flatnonzero(p == j)
+        similar, least = _alike(group["terms"].to_numpy().tolist(), group["weights"].to_numpy().tolist(), term, left, right)
+        w = similar.astype(np.float32)
+        # each pair once, inside a part as well
+        x, y = np.nonzero((w >= np.float32(min_similarity)) & least & ((i < j) | (node[left][:, None] < node[right])))
+        a, b = node[left[x]], node[right[y]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "w": w[x, y]})
+
+    return met.groupBy("term", "i", "j").applyInArrow(compare, "a bigint, b bigint, w float")
+
+
+def _next_partners(sets: DataFrame, neighbours: int, min_similarity: float) -> DataFrame:
+    """``a, b, w`` with ``a < b``: pairs that are near each other in the order of a term's nodes by their other terms."""
+    sets = sets.select("node", "terms", F.map_from_arrays("terms", "weights").alias("m"))
     entries = sets.select(F.explode("terms").alias("term"), "node", "terms", "m").withColumn("rest", F.array_remove("terms", F.col("term")))
     placed = global_position(entries.drop("terms"), ["term", "rest", "node"], "at").drop("rest")
     block = F.expr(f"at div {_BLOCK}")
@@ -166,7 +201,25 @@ def similarity_graph(nodes: DataFrame, weights: DataFrame, neighbours: int, min_
     total = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda s, x: s + x)
     both = F.aggregate(F.map_values(F.map_filter("m", lambda t, _: F.map_contains_key("x.m", t))), F.lit(0.0), lambda s, x: s + x)
     scored = pairs.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b"), (both / (total("m") + total("x.m") - both)).cast("float").alias("w"))
-    edges = scored.where(F.col("w") >= min_similarity).groupBy("a", "b").agg(F.max("w").alias("w"))
+    return scored.where(F.col("w") >= min_similarity).groupBy("a", "b").agg(F.max("w").alias("w"))
+
+
+def similarity_graph(nodes: DataFrame, weights: DataFrame, neighbours: int | None, min_similarity: float) -> DataFrame:
+    """``a, b, w`` in both directions: verified edges between nodes (``node, terms``), those of one ``b`` together.
+
+    An edge is kept if the weighted Jaccard similarity of the two sets, computed exactly, is at
+    least ``min_similarity`` (above 0), which is its weight. With ``neighbours`` None, the
+    graph is whole: every such pair has its edge (:func:`_all_partners`). With a number, it
+    is a part of that graph, linear in the number of terms of all nodes: a node has one entry
+    for each of its terms, all entries are range-sorted by (term, the node's other terms from
+    the heaviest to the lightest), and an entry meets only the next ``neighbours`` ones of its
+    term.
+    """
+    if not min_similarity > 0:
+        raise ValueError("min_similarity must be above 0")
+    own = sized_join(nodes.select("node", F.explode("terms").alias("term")), weights, "term").groupBy("node").agg(F.sort_array(F.collect_list(F.struct((-F.round("weight", 1)).alias("r"), "term", "weight"))).alias("t"))
+    sets = own.select("node", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"))
+    edges = _all_partners(materialize(sets), min_similarity) if neighbours is None else _next_partners(sets, neighbours, min_similarity)
     return edges.select(F.explode(F.array(F.struct("a", "b", "w"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "w"))).alias("e")).select("e.*").repartition("b").sortWithinPartitions("b")
 
 
@@ -254,7 +307,7 @@ def document_subjects(
     min_share: float = 0.25,
     min_information: float = 0.3,
     smoothing: float = 3.0,
-    neighbours: int = 2,
+    neighbours: int | None = None,
     min_similarity: float = 0.2,
     min_evidence: float = 0.45,
     min_trust: float = 0.15,

@@ -94,3 +94,18 @@ def test_labels_reach_the_end_of_a_chain(spark):
     for small in (True, False):
         got = {r["node"]: (r["q0"], r["q1"]) for r in propagate(edges, clamped, None, 2, 0.0001, 100, small).collect()}
         assert len(got) == 12 and all(a > 0.9 and b == 0 for a, b in got.values())
+
+
+def test_the_whole_graph_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    w = {t: rng.choice([0.5, 0.75, 1.0]) for t in range(-10, 30)}
+    sets = [frozenset([0] * (i % 2) + rng.sample(sorted(w), rng.randint(1, 6))) for i in range(300)]  # 0: a term of every other node
+    sets.append(frozenset([29]))
+    nodes = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "node bigint, terms array<bigint>")
+    weights = spark.createDataFrame(sorted(w.items()), "term bigint, weight float")
+    wanted = {(a, b): x for a in range(len(sets)) for b in range(len(sets)) if a != b and (x := jaccard(sets[a], sets[b], w)) >= 0.21}
+    for part in (512, 40):
+        monkeypatch.setattr("corpuskit.llm.subjects._PART", part)
+        rows = similarity_graph(nodes, weights, None, 0.21).collect()
+        got = {(r["a"], r["b"]): r["w"] for r in rows}
+        assert len(rows) == len(got) and set(got) == set(wanted) and all(abs(x - wanted[e]) < 1e-5 for e, x in got.items())
