@@ -230,8 +230,8 @@ def propagate(edges: DataFrame, clamped: DataFrame, start: DataFrame | None, k:
     n, y0 ...``, the same in every round) and its neighbours, weighted by similarity. Rounds
     of joins go on until the shares of a node move by less than ``tolerance`` on average in
     ``rounds_per_table`` rounds, after each of which the state is written. The shares are
-    broadcast if ``small``; otherwise both sides are shuffled, and as a node has few edges
-    for each of its terms, no key is hot.
+    broadcast if ``small``; otherwise both sides are shuffled. A node has at most one edge to
+    each node with a term of its own.
     """
     q = [f"q{i}" for i in range(k)]
     fixed = clamped.selectExpr("node", "cast(n as double) as d", *[f"y{i} as q{i}" for i in range(k)])
@@ -321,7 +321,7 @@ def document_subjects(
     Labelled documents are the seeds. Each sentence is a passage, seen as the set of its
     terms that tell subjects apart (:func:`term_information`); equal sets are one node, and
     a sentence without such a term has no subject (small talk). Nodes are linked by verified
-    similarity (:func:`similarity_graph`), and labels spread along the edges
+    similarity (:func:`similarity_graph`; all partners, unless ``neighbours`` is a number), and labels spread along the edges
     (:func:`propagate`), where the sentences of trusted seeds stay clamped to their labels. A
     seed is trusted while at least ``min_trust`` of its sentences, weighed by their shares,
     bear out its labels; the labels then spread anew from the trusted ones, until no more than
